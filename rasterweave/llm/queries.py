@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
 }
 ORACLES = {
