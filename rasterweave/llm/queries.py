@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import decontaminate, quality, simhash
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 ORACLES = {
     "op5_quality_rules": quality.SQL,
+    "op8_benchmark_decontamination": decontaminate.SQL,
 }
