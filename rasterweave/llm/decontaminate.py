@@ -121,14 +121,14 @@ def scan(texts: list[bytes | None], grams: Grams) -> Iterator[tuple[int, list[tu
     yield from flush()
 
 
-def blocks(items: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes | None]]]:
+def blocks(items: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[bool, list[tuple[str, bytes | None]]]]:
     """The distinct items, in blocks of about `limit` bytes; one block at a time is on the driver."""
     own = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").cast("binary").alias("t")).distinct()
     total = own.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
     n = max(1, -(-total // limit))
     for k in range(n):
         part = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else own
-        yield [(r.i, None if r.t is None else bytes(r.t)) for r in part.collect()]
+        yield k + 1 == n, [(r.i, None if r.t is None else bytes(r.t)) for r in part.collect()]
 
 
 def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES, texts: bool = True) -> DataFrame:
@@ -136,10 +136,9 @@ def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     spans (word intervals) and items."""
     rest = [F.col(c) for c in docs.columns if c != text] or [F.lit(True).alias("none")]
     got = docs.select(F.struct(*rest).alias("__row"), F.col(text).cast("string").alias("__text"), F.lit(None).cast(_STATE).alias("__hits"))
-    todo = list(blocks(items, item_id, item_text, limit))
-    for k, block in enumerate(todo):
+    for last, block in blocks(items, item_id, item_text, limit):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        names = ["__row", "__text", "__hits"] if texts or k + 1 < len(todo) else ["__row", "__hits"]
+        names = ["__row", "__text", "__hits"] if texts or not last else ["__row", "__hits"]
 
         def batches(it: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             grams = Grams(shared.value, window)

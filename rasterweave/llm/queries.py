@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, quality, secrets, simhash
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_secret_scans": secrets.op7_secret_scans,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 ORACLES = {
