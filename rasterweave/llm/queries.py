@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, secrets, simhash, tokens
+from . import chat, decontaminate, packing, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_token_counts": tokens.op9_token_counts,
 }
 ORACLES = {
     "op5_quality_rules": quality.SQL,
+    "op6_chat_formatting": chat.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
 }
