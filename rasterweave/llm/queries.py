@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, secrets, simhash, tokens
+from . import chat, decontaminate, packing, quality, secrets, simhash, tokens, wrappers
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_html_extraction": wrappers.op3_html_extraction,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_chat_formatting": chat.op6_chat_formatting,
