@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, secrets, simhash, tokens, wrappers
+from . import chat, decontaminate, packing, quality, secrets, simhash, tokens, warc, wrappers
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_token_counts": tokens.op9_token_counts,
+    "op10_warc_derivatives": warc.op10_warc_derivatives,
 }
 ORACLES = {
     "op5_quality_rules": quality.SQL,
