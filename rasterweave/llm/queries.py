@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, secrets, simhash, tokens, warc, wrappers
+from . import chat, decontaminate, licences, packing, quality, secrets, simhash, tokens, warc, wrappers
 
 QUERIES = {
+    "op1_license_scans": licences.op1_license_scans,
     "op2_packing": packing.op2_packing,
     "op3_html_extraction": wrappers.op3_html_extraction,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
