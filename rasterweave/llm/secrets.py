@@ -50,7 +50,7 @@ _NEEDS_LOWER = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HEX = bytes(120 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
 _HEX_RUN = b"x" * 24
-_PLACEHOLDER = re.compile(r"example|changeme|change_me|placeholder|your[_-]?|dummy|sample|redacted|xxxx|0000|1234567", re.I | re.A)
+_PLACEHOLDER = re.compile(r"example|change_?me|placeholder|your[_-]|dummy|sample|redacted|xxxx|^[0-9]{1,10}$", re.I | re.A)
 
 
 def find(raw: bytes | None) -> list[tuple[str, int, int, int, int, str]]:

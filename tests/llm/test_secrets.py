@@ -1,0 +1,51 @@
+import re
+
+from rasterweave.llm import secrets
+
+from .conftest import SCHEMA, prose, row
+
+HEX = "0123456789abcdef" * 3
+
+
+def brute(t):
+    out = []
+    for k, (kind, p, f, g, n) in enumerate(
+        [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 0, 20), ("hex", "[0-9a-f]+", 0, 0, 24)]
+    ):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, t or "", f) if len(m[g]) >= n]
+    return [x[2] for x in sorted(out)]
+
+
+def test_base_spans(spark, rows):
+    texts = [f'é token = "{HEX}" x', "PASSWORD:abc token: secret=abcdef", "api_key='abcdefgh' API KEY=zzzzzzzz apikey = 12345", "AKIA" + "A" * 16 + " AKIAAKIA1", "f" * 23 + " " + "f" * 24, "ſecret=abcdefg toKen=abcdefg"]
+    own = rows + [row(1000 + i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(own, SCHEMA)
+    got = {}
+    for r in secrets.scan(docs).collect():
+        got.setdefault(r.doc_id, []).append([f"{x.kind}:{x.s}:{x.e}" for x in r.found if x.kind in secrets.BASE])
+    want = {}
+    for r in own:
+        want.setdefault(r[0], []).append(brute(r[1]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_ownership(spark):
+    common, own = "q8Zr5tWm2Lx9", "h3Kd7sPf1Nv6"
+    docs = spark.createDataFrame([row(i, f"token={common}", source=f"s{i % 4}") for i in range(40)] + [row(50, f"token={own} token=changeme1", source="s1")] * 3, SCHEMA)
+    rows = secrets.scan(docs).collect()
+    verdict = {(x.verdict, x.n_repos, x.n_owners) for r in rows for x in r.found}
+    assert verdict == {("example", 40, 4), ("live", 1, 1), ("placeholder", 1, 1)}
+    red = secrets.redacted(docs)
+    assert red.columns == docs.columns and red.count() == 43
+    assert {r.text for r in red.where("doc_id = 50").collect()} == {"token=<assign> token=changeme1"}
+    assert red.where("doc_id < 40").select("text").distinct().collect()[0].text == f"token={common}"
+    assert red.where("doc_id = 50").first().n_chars == len("token=<assign> token=changeme1")
+
+
+def test_more_kinds_and_edges(spark, docs, none):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    kinds = {x[0] for x in secrets.find(f"{jwt} ghp_{'a1B2' * 9} xoxb-123456-abcdefghijk".encode())}
+    assert kinds == {"jwt", "github", "slack"}
+    assert secrets.scan(none).count() == 0 and secrets.redacted(none).count() == 0
+    assert sorted(map(str, secrets.redacted(docs).collect())) == sorted(map(str, docs.collect()))
+    assert secrets.find(prose(3, 100).encode()) == []
