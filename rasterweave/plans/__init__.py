@@ -1,12 +1,3 @@
 """The registered queries and their SQL."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+from .raster import ORACLES, QUERIES, flagship  # noqa: F401

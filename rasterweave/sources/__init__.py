@@ -1,0 +1,3 @@
+"""Scenes in and out."""
+
+from .raster import describe, features, read_band, read_raster, to_gray, to_png, to_tiff, write_bands  # noqa: F401
