@@ -125,7 +125,7 @@ def clahe(df: DataFrame, clip_limit: float = 0.03, bins: int = 256, tiles: int =
         here = luts.select(*[F.col(k).alias(f"__{k}{i}") for k in keys], F.col("ty").alias(f"__a{i}"), F.col("tx").alias(f"__b{i}"), F.col("lut").alias(f"__lut{i}"))
         on = [F.col(k) == F.col(f"__{k}{i}") for k in keys] + [F.col(f"__ty{i}") == F.col(f"__a{i}"), F.col(f"__tx{i}") == F.col(f"__b{i}")]
         got = got.join(here, on)
-        below = F.expr(f"coalesce(element_at(filter(__lut{i}, e -> e.b <= __bin), -1).s, 0D)")
+        below = F.expr(f"coalesce(try_element_at(filter(__lut{i}, e -> e.b <= __bin), -1).s, 0D)")
         share = (below + F.col(f"__lut{i}")[0]["extra"] * (F.col("__bin") + 1)) / F.col(f"__lut{i}")[0]["all"]
         total = total + share * (wy if dy else 1 - wy) * (wx if dx else 1 - wx)
     return got.withColumn(out, F.least(F.lit(1.0), total)).select(*[c for c in df.columns if c != out], out)
