@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,20 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder, so a lost executor costs nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a local folder is made only where none is set."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rw-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
-    The folder is the session's spark.checkpoint.dir; a local one is made only where none is set.
-    """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rw-checkpoint-")
-        )
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared checkpoint folder, so a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
     """Null-safe equality of the key pairs."""
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in keys])

@@ -148,8 +148,11 @@ def keep(docs: DataFrame, text: str = "text", keys: tuple[str, str] = ("lang", "
     The text is counted once for the sketches and once for the filter: two scans, and no shuffle of texts."""
     own = docs.select(F.struct(*docs.columns).alias("__row"), F.col(keys[0]).alias("__lang"), F.col(keys[1]).alias("__source"), F.col(text).alias("__text"))
     limits = checkpointed(thresholds(_rates(counts(own.drop("__row"), "__text").drop("__text")), ("__lang", "__source"), spread))
-    got = _judged(_rates(counts(own, "__text").drop("__text")), limits, ("__lang", "__source")).where("__kept")
-    return got.select("__row.*")
+    got = counts(own, "__text").drop("__text")
+    # The counts go through a generator, past which the optimiser pushes no filter: they are computed once a row.
+    numbers = [c for c in got.columns if c not in own.columns]
+    got = got.select("__row", "__lang", "__source", F.explode(F.array(F.struct(*numbers))).alias("__c")).select("__row", "__lang", "__source", "__c.*")
+    return _judged(_rates(got), limits, ("__lang", "__source")).where("__kept").select("__row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
