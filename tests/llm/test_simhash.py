@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 from rasterweave.llm import simhash
 from rasterweave.llm.components import components
 
+from .conftest import SCHEMA, prose, row
+
 
 def brute_fp(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -97,3 +99,22 @@ def test_deduplicated_keeps_one_of_each(docs, none, rows):
     assert sorted(kept) == sorted(set(classes.values()))
     assert {r.doc_id for r in got.collect()} >= {100, 200, 300}
     assert simhash.deduplicated(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def test_near_copies_of_a_similarity_of_08(spark):
+    r = random.Random(4)
+    base = [prose(100 + i, 250).split() for i in range(12)]
+    rows, own = [], {}
+    for i, words in enumerate(base):
+        for k in range(4):
+            copy = list(words)
+            for at in r.sample(range(250), 2 * (k > 0)):  # two changed words: a similarity of 0.85 and more with the first
+                copy[at] = "zq" + copy[at]
+            own[len(rows)] = i
+            rows.append(row(len(rows), " ".join(copy)))
+    rows += [row(900 + i, None if i < 2 else "") for i in range(4)] + [row(None, " ".join(base[0])), row(950, "a b"), row(951, "a c")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = simhash.deduplicated(docs, size=simhash.WIDE_SHINGLE, distance=simhash.WIDE_DISTANCE, wide=True)
+    assert got.columns == docs.columns
+    assert sorted(x.doc_id for x in got.collect()) == [4 * i for i in range(12)] + [900, 950, 951]
+    assert simhash.deduplicated(docs.limit(0), size=5, distance=50, wide=True).count() == 0
