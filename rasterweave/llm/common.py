@@ -46,27 +46,16 @@ def same(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Colu
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in keys])
 
 
-def joined(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[tuple[str, str]],
-    how: str = "left",
-    salt: int = 32,
-    limit: int = BROADCAST_ROWS,
-    rows: int | None = None,
-) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "left", limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """left joined to a right side with one row a key, null-safe; the right side's keys are dropped.
 
     The right side is counted first (pass a checkpointed one, or its count): up to `limit` rows it is broadcast and
-    `left` does not move. Beyond that it is repeated `salt` times and `left` is dealt out by key and salt, so that
-    a hot key of `left` is spread over `salt` tasks.
+    `left` does not move. Beyond that both sides are dealt out by key; a key of `left` that is hot is split over tasks
+    by the adaptive skew join, against the one row of the right side, which is not repeated for other keys.
     """
     small = (right.count() if rows is None else rows) <= limit
-    right = right.select(*[F.col(b).alias(f"__r_{b}") if b in [k for _, k in keys] else F.col(b) for b in right.columns])
+    ours = [k for _, k in keys]
+    right = right.select(*[F.col(c).alias(f"__r_{c}") if c in ours else F.col(c) for c in right.columns])
     pairs = [(a, f"__r_{b}") for a, b in keys]
-    if small:
-        return left.join(F.broadcast(right), same(left, right, pairs), how).drop(*[b for _, b in pairs])
-    left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salt)).cast("int"))
-    right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    on = same(left, right, pairs) & (left["__salt"] == right["__r_salt"])
-    return left.join(right, on, how).drop("__salt", "__r_salt", *[b for _, b in pairs])
+    right = F.broadcast(right) if small else right.hint("merge")
+    return left.join(right, same(left, right, pairs), how).drop(*[b for _, b in pairs])

@@ -10,11 +10,11 @@ of a host. The wrapper decides which slots hold the main text:
 
 * none in elements, or under class, id and role words, of menus, headers, footers, sidebars, notices, adverts, forms
   and comments, nor in hidden ones;
-* where it has article elements (else main ones, else ones with a content word in class or id), those slots only;
-* else the slots whose text differs between the host's pages and is not mostly links.
+* in pages with article elements (else main ones, else ones with a content word in class or id), the slots in those;
+* in other pages the slots whose text differs between the host's pages (unless all are copies) and is not mostly links.
 
 Each (host, skeleton) gets its mask of slots; the pages are read again and the mask picks their texts. Masks are
-broadcast up to a checked number and joined by a salted shuffle beyond.
+broadcast up to a checked number and joined by a shuffle beyond.
 
 Defined results: null or empty html, or one without main text, gives an empty text; null urls are one host; pages of a
 host alone, and ties, need no other pages; repeated rows each get their row; an empty table gives an empty result;
@@ -313,16 +313,16 @@ def container(node: Node) -> int | None:
     return min(seen, default=None)
 
 
-def chosen(wrapper: Node) -> set[int]:
-    """The identities of the wrapper's slots that hold main text."""
-    kind, out = container(wrapper), set()
+def chosen(tree: Node, kind: int | None, figures: bool = True) -> set[int]:
+    """The identities of the slots of a wrapper (or, without figures, of a page) that hold main text in pages whose
+    container is `kind`."""
+    out = set()
+    # Where no slot differs between pages, they are copies, and sameness tells nothing.
+    copies = figures and not any(min(x[3] for x in s.texts) != max(x[4] for x in s.texts) for s in slots(tree) if s.texts)
 
     def walk(n: Node, inside: bool) -> None:
         if n.label == SLOT:
-            if kind is not None:
-                if inside:
-                    out.add(id(n))
-            elif not n.texts or _varied(n.texts):
+            if inside or kind is None and (not figures or not n.texts or _varied(n.texts, copies)):
                 out.add(id(n))
             return
         if n.label != GROUP:
@@ -332,34 +332,37 @@ def chosen(wrapper: Node) -> set[int]:
         for k in n.kids:
             walk(k, inside)
 
-    walk(wrapper, False)
+    walk(tree, False)
     return out
 
 
-def _varied(stats: list) -> bool:
+def _varied(stats: list, copies: bool) -> bool:
     pages, chars, link, low, high = (f(x) for f, x in zip((sum, sum, sum, min, max), zip(*stats, strict=True), strict=True))
-    return 2 * link < chars and (low != high or pages < 3)
+    return 2 * link < chars and (low != high or pages < 3 or copies)
 
 
 def mask(wrapper: Node, page: Node) -> str:
-    """One 0 or 1 for each slot of the page, by the wrapper slot that it is aligned with."""
-    good, keep = chosen(wrapper), set()
+    """One 0 or 1 for each slot of the page, by the wrapper slot that it is aligned with, under the page's own kind of
+    container; a slot that finds no partner is judged by its place in the page."""
+    kind = container(page)
+    good, alone, met_slots, keep = chosen(wrapper, kind), chosen(page, kind, figures=False), set(), set()
+    # Slots are told apart by their texts, which meeting nodes carry along.
+    own = list(slots(page))
+    for i, s in enumerate(own):
+        s.texts = [[i]]
+    places = [id(s) in alone for s in own]
 
     def walk(a: list[Node], b: list[Node]) -> None:
         a, b = _grouped_alike(a, b)
         for p, q in matches([k.label for k in a], [k.label for k in b]):
-            if b[q].label == SLOT and id(a[p]) in good:
-                keep.update(id(t) for t in b[q].texts)
+            if b[q].label == SLOT:
+                met_slots.update(t[0] for t in b[q].texts)
+                if id(a[p]) in good:
+                    keep.update(t[0] for t in b[q].texts)
             walk(a[p].kids, b[q].kids)
 
-    # Slots are told apart by their texts, which meeting nodes carry along.
-    for i, s in enumerate(slots(page)):
-        s.texts = [[i]]
-    own = list(slots(page))
-    marks = {id(s.texts[0]): i for i, s in enumerate(own)}
     walk(wrapper.kids, page.kids)
-    got = {marks[k] for k in keep}
-    return "".join("1" if i in got else "0" for i in range(len(own)))
+    return "".join("1" if i in keep or i not in met_slots and place else "0" for i, place in enumerate(places))
 
 
 def skeleton(tree: Node) -> str:
