@@ -14,6 +14,7 @@ from ..fixtures import CHIPS, GRAY, MULTI
 from ..operators import edges, keypoints, stats
 from ..operators.filters import gaussian_kernel
 from ..operators.morphology import offsets
+from ..operators.neighborhood import in_strips, own_rows
 from ..operators.segmentation import nearest
 from ..operators.texture import ANGLES
 from ..sources import raster as src
@@ -568,6 +569,55 @@ def _(spark, d):
     return op.drawn(g, op.fast_corners(g)).select("y", "x", "r", "g", "b")
 
 
+# Single steps of the operators above -------------------------------------------------------------------------------
+
+
+@query("k3_to_byte", sql.gray(select="select y, x, trunc(least(255.0::double, greatest(0.0::double, v * 1.5::double - 60.25::double)))::int as v from g"))
+def _(spark, d):
+    return yx(fx.scene_gray(spark, d), v=pt.to_byte(F.col("v") * 1.5 - 60.25))
+
+
+@query("f7_valid_pixels", f"with {MULTI} select count(*) as n, count(case when nir + red <> 0 then 1 end) as n_valid from m")
+def _(spark, d):
+    got = fx.scene_multi(spark, d).select(pt.ndvi("nir", "red", zero="null").alias("v"))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_valid"))
+
+
+@query("p13_normalise", sql.gray(select="select y, x, round(v / (select max(v) from g)::double * 255, 6) as v from g"))
+def _(spark, d):
+    return yx(edges.normalised(fx.scene_gray(spark, d), "v"), v=r6("v"))
+
+
+@query("p16_repaint", f"with {MULTI}, l as (select y, x, red, ({_nearest_sql()})::int as i from m), c as (select i, trunc(avg(red))::int as red from l group by i) select y, x, c.red as v from l join c on c.i = l.i")
+def _(spark, d):
+    m = fx.scene_multi(spark, d).withColumn("label", nearest(["red", "nir", "green"], CENTRES))
+    means = m.groupBy("label").agg(F.avg("red").cast("int").alias("v"))
+    return m.join(F.broadcast(means), "label").select("y", "x", "v")  # one row a centre
+
+
+@query("a11_cluster_means", f"with {MULTI} select ({_nearest_sql()})::int as label, count(*) as n, round(avg(red), 6) as red, round(avg(nir), 6) as nir, round(avg(green), 6) as green from m group by 1")
+def _(spark, d):
+    m = fx.scene_multi(spark, d).withColumn("label", nearest(["red", "nir", "green"], CENTRES))
+    return m.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(c)).alias(c) for c in ("red", "nir", "green")])
+
+
+@query("a21_distinct_labels", sql.gray(MASK, sql.COMPONENTS, select="select distinct label::int as label from lab", recursive=True))
+def _(spark, d):
+    return op.labelled(mask(spark, d)).where("label > 0").select(F.col("label").cast("int").alias("label")).distinct()
+
+
+@query("n21_local_maxima", sql.gray(sql.around("n", "g", [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3)], "v", sql.OUTSIDE), select="select g.y, g.x from g join n using (y, x) group by g.y, g.x, g.v having g.v = max(n.v) and g.v > 200"))
+def _(spark, d):
+    got = keypoints.local_maxima(in_strips(fx.scene_gray(spark, d), 2), "v", 5)
+    return own_rows(got).where("top and v > 200").select("y", "x")
+
+
+@query("i1_hysteresis", sql.gray("st as (select y, x, v >= 190 as strong, v >= 150 and v < 190 as weak from g)", "rc as (select y, x from st where strong union select s.y, s.x from rc join st s on s.weak and s.y between rc.y - 1 and rc.y + 1 and s.x between rc.x - 1 and rc.x + 1)", select="select st.y, st.x, rc.y is not null as edge from st left join rc on rc.y = st.y and rc.x = st.x", recursive=True))
+def _(spark, d):
+    g = fx.scene_gray(spark, d).withColumns({"strong": F.col("v") >= 190, "weak": (F.col("v") >= 150) & (F.col("v") < 190)})
+    return edges.hysteresis(g).select("y", "x", "edge")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of the three indices over the multi-band scene."""
     m = fx.scene_multi(spark, sf_dir)
