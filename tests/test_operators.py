@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterweave import functions as pt
 from rasterweave import operators as op
-from rasterweave.operators import edges, neighborhood, stats
+from rasterweave.operators import components, edges, neighborhood, stats
 from rasterweave.operators.components import runs_labelled
 from rasterweave.operators.keypoints import brief_pattern
 from rasterweave.operators.segmentation import chamfer, flood
@@ -131,9 +131,10 @@ def brute_labels(m):
     return out
 
 
-@pytest.mark.parametrize("rows", [256, 3])
-@pytest.mark.parametrize("share", [0.0, 0.35, 0.5, 1.0])
-def test_components(spark, rows, share):
+@pytest.mark.parametrize("rows, few", [(256, 50_000), (3, 50_000), (3, 0)])
+@pytest.mark.parametrize("share", [0.0, 0.35, 1.0])
+def test_components(spark, rows, few, share, monkeypatch):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     m = np.random.default_rng(3).random((20, 15)) < share
     df = frame(spark, m.astype(float)).withColumn("fg", F.col("v") > 0)
     got = op.labelled(df, strip=rows)
