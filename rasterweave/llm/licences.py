@@ -224,10 +224,17 @@ def fitted(sample: list[str], templates: dict[str, list[str]] = TEMPLATES, seed:
 
 
 def sampled(docs: DataFrame, text: str, n: int = SAMPLE) -> list[str]:
-    """At most n paragraphs for training, of the n documents least by hash: at most n rows and cut texts come to the driver."""
+    """At most n paragraphs for training, one of each distinct text, the least by the texts' hash.
+
+    The row count sets the share of the hash range in which about 2 n texts lie, so that tasks pass on a few rows
+    whatever the corpus; copies of a text are one row before they meet."""
+    total = docs.count()
+    top = 2**63 - 1
+    share = 1.0 if total <= 2 * n else 2 * n / total
     own = docs.select(F.col(text).cast("string").alias("t")).where("t is not null").withColumn("h", F.xxhash64("t", F.lit(SEED)))
-    lines = own.select("h", F.expr("element_at(split(t, '\n'), 1 + cast(pmod(h, size(split(t, '\n'))) as int))").alias("p"))
-    return [r.p for r in lines.orderBy("h", "p").limit(n).select(F.substring("p", 1, 2000).alias("p")).collect()]
+    own = own.where(F.col("h") <= F.lit(min(top, int(-(2**63) + share * 2**64))).cast("long"))
+    lines = own.select("h", F.expr("substring(element_at(split(t, '\n'), 1 + cast(pmod(h, size(split(t, '\n'))) as int)), 1, 2000)").alias("p"))
+    return [r.p for r in lines.distinct().orderBy("h", "p").limit(n).collect()]
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
