@@ -12,11 +12,9 @@ split by the ball of radius one around the 16-bit quarters of the other half (tw
 have a quarter of the other half within a bit), which leaves 16 free bits a bucket.
 
 near_copies() is for texts with a similarity of 0.8 or more in five-word shingles, whose 64-bit fingerprints differ in
-some ten bits. It indexes a 256-bit fingerprint of a text's distinct words, of which a near copy changes few bits, in
-eight segments of 32 bits, with the same balls of radius one: texts with up to 15 differing bits always meet, and those
-at 0.8 meet in about 97 of 100 cases, by the chance of 32 bits with at most one change. It verifies the complete
-distance of a second 256-bit fingerprint, that of the shingles, at WIDE_DISTANCE bits. Nodes are told apart by a
-64-bit hash of both.
+some ten bits. Its nodes are the distinct shingle sets. Each has 128 minima under mixings of the hashes, in 32 bands of
+four, and two nodes meet if a band is equal: whichever words differ, only the similarity counts, and a pair at 0.8 is
+missed with a chance of 5e-8.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 repeated rows (same id or same text) each get their row; a null id is ignored when the smallest id of a component is
@@ -39,8 +37,13 @@ from .common import checkpointed, joined, table
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
-#: For near copies: words of a shingle, and bits of 256 (a similarity of 0.8 gives 39 on average, one of 0.6 gives 59).
+#: For near copies: words of a shingle (the distance is not used: they are told by their similarity).
 WIDE_SHINGLE, WIDE_DISTANCE = 5, 50
+#: Bands of so many minima each: at a similarity of 0.8 a pair shares none with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
+BANDS, BAND = 32, 4
+#: Equal minima of 128 below which a pair is not at 0.8 (on average 102, deviation 4.5).
+LEAST = 76
+MIX = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, BANDS * BAND), np.uint64) | np.uint64(1)
 BUCKET = 4096
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -130,87 +133,88 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.union(buckets.where(F.size("fps") > 2).select("fps").mapInArrow(spanned, "a long, b long")).distinct()
 
 
-def _wide(features: list[bytes]) -> bytes:
-    """The 256-bit fingerprint of a list of features."""
-    if not features:
-        return bytes(32)
-    raw = b"".join([xxhash.xxh3_128_digest(f, 1) + xxhash.xxh3_128_digest(f, 2) for f in features])
-    h, ones = np.frombuffer(raw, np.uint8).reshape(-1, 32), np.zeros(256, np.int64)
-    for at in range(0, len(h), 16384):
-        ones += np.unpackbits(h[at : at + 16384], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
-
-
-def wide_fingerprints(text: bytes | None, size: int = WIDE_SHINGLE) -> tuple[bytes, bytes]:
-    """The 256-bit fingerprints of a text's distinct words and of its shingles."""
+def shingle_hashes(text: bytes | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles."""
     words = (text or b"").translate(LOWER).split()
     n = len(words)
     line, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
     shingles = [line[s : e - 1] for s, e in zip([0, *ends[: n - size]], ends[size - 1 :], strict=True)] if n > size else [line] * (n > 0)
-    return _wide(list(dict.fromkeys(words))), _wide(shingles)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
 
 
-def wide_links(nodes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(a, b): spanning links between nodes (node, a: eight 32-bit segments, b: 32 bytes) that meet in a segment."""
-    ball = "transform(filter(sequence(0, 31), b -> getbit(k, b) = 1), b -> struct(cast(i as int) as part, k - shiftleft(1L, b) as key, false as own))"
-    each = nodes.select("node", F.posexplode("a").alias("i", "k"))
-    entries = each.select("node", F.explode(F.expr(f"concat(array(struct(cast(i as int) as part, k as key, true as own)), {ball})")).alias("e")).select("node", "e.*")
-    met = entries.join(entries.where("own").select("part", "key").distinct(), ["part", "key"], "left_semi")
-    sizes = met.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = checkpointed(met.join(sizes, ["part", "key"]).select("part", "key", "node"))
-    full = met.join(nodes.select("node", "b"), "node")
-    buckets = full.groupBy("part", "key").agg(F.collect_set(F.struct("node", "b")).alias("rows")).where("size(rows) > 1").select("rows")
-
-    def spanned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found: list[tuple[int, int]] = []
-            for rows in batch.column(0):
-                fields = rows.values
-                ids = fields.field(0).to_numpy(zero_copy_only=False)
-                bits = np.frombuffer(b"".join(fields.field(1).to_pylist()), np.uint64).reshape(-1, 4)
-                order = np.argsort(ids)
-                found += _wide_forest(ids[order], bits[order], distance)
-            at = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["a", "b"])
-
-    return buckets.mapInArrow(spanned, "a long, b long").distinct()
-
-
-def _wide_forest(ids: np.ndarray, bits: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    found, left = [], np.arange(1, len(ids))
-    queue = [0]
-    while len(left):
-        if not queue:
-            queue, left = [left[0]], left[1:]
-            continue
-        here = queue.pop()
-        near = np.bitwise_count(bits[left] ^ bits[here]).sum(1) <= distance
-        if near.any():
-            found += [(int(ids[here]), int(ids[k])) for k in left[near]]
-            queue += list(left[near])
-            left = left[~near]
-    return found
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each of BANDS * BAND mixings; equal in two sets as often as they are similar."""
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[at : at + 1024, None] ^ MIX[0]) * MIX[1]).min(0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def wide_rows(docs: DataFrame, text: str, size: int = WIDE_SHINGLE) -> DataFrame:
-    """docs with the column `text` replaced by node, a and b."""
+    """docs with the column `text` replaced by fp, a hash of the shingle set, and sig, its minima."""
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest, F.lit(None).cast("array<bigint>").alias("a"), F.lit(None).cast("binary").alias("b")).schema
+    schema = docs.select(*rest, F.lit(0).cast("long").alias("fp"), F.lit(None).cast("array<int>").alias("sig")).schema
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            got = [wide_fingerprints(t.as_py(), size) for t in batch.column(text).cast(pa.binary())]
-            segments = np.frombuffer(b"".join(a for a, _ in got), np.uint32).astype(np.int64)
-            a = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(got) + 1, 8), pa.int32()), pa.array(segments))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [a, pa.array([b for _, b in got], pa.binary())], names=[*rest, "a", "b"])
+            sets = [shingle_hashes(t.as_py(), size) for t in batch.column(text).cast(pa.binary())]
+            fp = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            sig = np.concatenate([minima(h) for h in sets]) if sets else np.zeros(0, np.int32)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * BAND * len(sets) + 1, BANDS * BAND), pa.int32()), pa.array(sig))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(fp), sig], names=[*rest, "fp", "sig"])
+
+    return docs.mapInArrow(batches, schema)
+
+
+def wide_buckets(reps: DataFrame) -> DataFrame:
+    """(part, key, hub, n, fp): the bands in which several rows of reps (fp, sig) meet, with their least one."""
+    keys = f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, slice(sig, {BAND} * i + 1, {BAND})))"
+    entries = reps.select("fp", F.posexplode(F.expr(keys)).alias("part", "key"))
+    met = entries.groupBy("part", "key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return checkpointed(entries.join(met, ["part", "key"]))
 
-    return docs.mapInArrow(batches, schema).withColumn("fp", F.xxhash64("a", "b"))
 
+def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) with LEAST equal minima."""
+    own = pairs.distinct().join(reps.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
+    own = own.join(reps.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
+    return own.where(f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {LEAST}").select("a", "b")
 
-def near_copies(rows: DataFrame, distance: int = WIDE_DISTANCE) -> tuple[DataFrame, DataFrame]:
-    """As classes(), for rows of wide_rows: (fp, id, n), and (fp, component_id) of the linked ones."""
-    reps = checkpointed(rows.groupBy("fp").agg(F.min("__id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
-    roots = components(wide_links(reps.select(F.col("fp").alias("node"), "a", "b"), distance))
+
+def cross_pairs(met: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the pairs with LEAST equal minima that meet in a bucket, are not of one root and are not with its hub."""
+    label = roots.select(F.col("node").alias("fp"), "root")
+    own = met.where("n > 2").join(label, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = own.groupBy("part", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("part", "key")
+    own = own.join(mixed, ["part", "key"]).where("fp <> hub").select("part", "key", "n", "fp", "root")
+    full = own.join(reps.select("fp", "sig"), "fp")
+    rows = full.groupBy("part", "key").agg(F.collect_list(F.struct("fp", "root", "sig")).alias("rows")).where("size(rows) > 1").select("rows")
+
+    def crossed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for one in batch.column(0):
+                fields = one.values
+                ids, root = (fields.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                sig = fields.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                for k in range(len(ids) - 1):
+                    rest = k + 1 + np.nonzero(root[k + 1 :] != root[k])[0]
+                    near = ids[rest[(sig[rest] == sig[k]).sum(1) >= LEAST]]
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, ids[k])), pa.array(np.maximum(near, ids[k]))], names=["a", "b"])
+
+    return rows.mapInArrow(crossed, "a long, b long").distinct()
+
+
+def near_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As classes(), for rows of wide_rows: (fp, id, n), and (fp, component_id) of the linked ones.
+
+    Each node is first compared with the least node of its buckets; then all pairs that meet but are not yet in one
+    component are."""
+    reps = checkpointed(rows.groupBy("fp").agg(F.min("__id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
+    met = wide_buckets(reps)
+    found = checkpointed(alike(met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")), reps))
+    more = checkpointed(cross_pairs(met, reps, components(found)))
+    roots = components(found.union(more))
     roots = checkpointed(roots.join(reps.select("fp", "id"), F.col("node") == F.col("fp")).select("fp", "id", "root"))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     return reps.select("fp", "id", "n"), roots.join(least, "root").select("fp", "component_id")
@@ -236,13 +240,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, wide: bool = False) -> DataFrame:
     """docs with one row of each component: the one with the smallest id (repeated rows of it: the first by text hash).
 
-    Components are those of near_duplicates(), or with wide=True those of near_copies().
+    Components are those of near_duplicates(), or with wide=True those of near_copies(), which has no distance.
     Only ids, fingerprints and hashes are grouped. The rows to drop are joined to the texts by (id, text hash); up to
     a checked number they are broadcast and the texts do not move."""
     key = lambda df: (df[doc_id].alias("__id"), F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))).alias("__h"))
     own = docs.select(*key(docs), F.col(text).cast("string").alias("__text"))
     own = checkpointed(wide_rows(own, "__text", size) if wide else fingerprints(own, "__text", size))
-    reps, linked = near_copies(own, distance) if wide else classes(own, "__id", distance)
+    reps, linked = near_copies(own) if wide else classes(own, "__id", distance)
     cls = checkpointed(reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("c"), F.coalesce("n", F.lit(0)).alias("n")))
     ids = own.groupBy("fp", "__id", "__h").agg(F.count(F.lit(1)).alias("k"))
     ids = joined(ids, cls.select("fp", "c"), [("fp", "fp")])

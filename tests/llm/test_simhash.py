@@ -118,3 +118,33 @@ def test_near_copies_of_a_similarity_of_08(spark):
     assert got.columns == docs.columns
     assert sorted(x.doc_id for x in got.collect()) == [4 * i for i in range(12)] + [900, 950, 951]
     assert simhash.deduplicated(docs.limit(0), size=5, distance=50, wide=True).count() == 0
+
+
+def jaccard(a, b, n=5):
+    p, q = ({tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for t in (a, b))
+    return len(p & q) / len(p | q)
+
+
+def edited(words, kind, other):
+    """A near copy at 0.8 to 0.86: a passage added, cut or replaced, or single words changed."""
+    n, out = len(words), list(words)
+    if kind == "appended":
+        return words + other[: n * 2 // 10]
+    if kind == "cut":
+        return words[: n - n * 17 // 100]
+    if kind == "replaced":
+        return words[: n // 2] + other[: n * 8 // 100] + words[n // 2 + n * 8 // 100 :]
+    for k in range(n * 16 // 1000):
+        out[(2 * k + 1) * n // (2 * (n * 16 // 1000))] = other[k]
+    return out
+
+
+def test_near_copies_whatever_was_edited(spark):
+    kinds, rows = ("appended", "cut", "replaced", "scattered"), []
+    for i in range(240):
+        words, other = prose(3000 + i, 300).split(), prose(9000 + i, 100).split()
+        copy = edited(words, kinds[i % 4], other)
+        assert 0.8 <= jaccard(words, copy) <= 0.88
+        rows += [row(2 * i, " ".join(words)), row(2 * i + 1, " ".join(copy))]
+    got = simhash.deduplicated(spark.createDataFrame(rows, SCHEMA), size=simhash.WIDE_SHINGLE, wide=True)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 480, 2))
