@@ -14,7 +14,7 @@ have a quarter of the other half within a bit), which leaves 16 free bits a buck
 near_copies() is for texts with a similarity of 0.8 or more in five-word shingles, whose 64-bit fingerprints differ in
 some ten bits. Its nodes are the distinct shingle sets. Each has 128 minima under mixings of the hashes, in 32 bands of
 four, and two nodes meet if a band is equal: whichever words differ, only the similarity counts, and a pair at 0.8 is
-missed with a chance of 5e-8.
+missed with a chance of 5e-8. Pairs that meet are linked if their shingle sets themselves are alike to 0.8 or more.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 repeated rows (same id or same text) each get their row; a null id is ignored when the smallest id of a component is
@@ -41,6 +41,8 @@ SEED, SHINGLE, DISTANCE = 42, 3, 3
 WIDE_SHINGLE, WIDE_DISTANCE = 5, 50
 #: Bands of so many minima each: at a similarity of 0.8 a pair shares none with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, BAND = 32, 4
+#: The least similarity of near copies, as a fraction.
+SIMILARITY = (4, 5)
 #: Equal minima of 128 below which a pair is not at 0.8 (on average 102, deviation 4.5).
 LEAST = 76
 MIX = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, BANDS * BAND), np.uint64) | np.uint64(1)
@@ -205,15 +207,37 @@ def cross_pairs(met: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.mapInArrow(crossed, "a long, b long").distinct()
 
 
-def near_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As classes(), for rows of wide_rows: (fp, id, n), and (fp, component_id) of the linked ones.
+def exact(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are alike to SIMILARITY; texts: (__id, __h, __text). Only the texts of nodes
+    in pairs are read again."""
+    pairs = checkpointed(pairs)
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    asked = checkpointed(reps.join(asked, "fp").select("fp", F.col("row.__id").alias("ri"), F.col("row.__h").alias("rh")))
+    own = joined(texts, asked, [("__id", "ri"), ("__h", "rh")], "inner").select("fp", "__text")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [shingle_hashes(t.as_py(), size).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+
+    sets = checkpointed(own.mapInArrow(batches, "fp long, set array<long>").dropDuplicates(["fp"]))
+    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    both = both.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
+    # shared / (x + y - shared) >= SIMILARITY, in whole numbers
+    up, down = SIMILARITY
+    return checkpointed(both.where(f"{up + down} * size(array_intersect(x, y)) >= {up} * (size(x) + size(y))").select("a", "b"))
+
+
+def near_copies(rows: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """As classes(), for rows of wide_rows of texts (__id, __h, __text): (fp, id, n), and (fp, component_id) of the linked ones.
 
     Each node is first compared with the least node of its buckets; then all pairs that meet but are not yet in one
-    component are."""
-    reps = checkpointed(rows.groupBy("fp").agg(F.min("__id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
+    component are. A link is one of exact()."""
+    least = (F.min("__id").alias("id"), F.min(F.struct("__id", "__h")).alias("row"))
+    reps = checkpointed(rows.groupBy("fp").agg(*least, F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
     met = wide_buckets(reps)
-    found = checkpointed(alike(met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")), reps))
-    more = checkpointed(cross_pairs(met, reps, components(found)))
+    found = exact(alike(met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")), reps), reps, texts, size)
+    more = exact(cross_pairs(met, reps, components(found)), reps, texts, size)
     roots = components(found.union(more))
     roots = checkpointed(roots.join(reps.select("fp", "id"), F.col("node") == F.col("fp")).select("fp", "id", "root"))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -245,8 +269,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     a checked number they are broadcast and the texts do not move."""
     key = lambda df: (df[doc_id].alias("__id"), F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))).alias("__h"))
     own = docs.select(*key(docs), F.col(text).cast("string").alias("__text"))
+    texts = own
     own = checkpointed(wide_rows(own, "__text", size) if wide else fingerprints(own, "__text", size))
-    reps, linked = near_copies(own) if wide else classes(own, "__id", distance)
+    reps, linked = near_copies(own, texts, size) if wide else classes(own, "__id", distance)
     cls = checkpointed(reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("c"), F.coalesce("n", F.lit(0)).alias("n")))
     ids = own.groupBy("fp", "__id", "__h").agg(F.count(F.lit(1)).alias("k"))
     ids = joined(ids, cls.select("fp", "c"), [("fp", "fp")])

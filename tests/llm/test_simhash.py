@@ -148,3 +148,18 @@ def test_near_copies_whatever_was_edited(spark):
         rows += [row(2 * i, " ".join(words)), row(2 * i + 1, " ".join(copy))]
     got = simhash.deduplicated(spark.createDataFrame(rows, SCHEMA), size=simhash.WIDE_SHINGLE, wide=True)
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 480, 2))
+
+
+def test_texts_below_08_stay(spark):
+    rows = []
+    for i in range(60):
+        words, other = prose(5000 + i, 300).split(), prose(7000 + i, 100).split()
+        copy = words + other[: 80 + i % 10] if i % 2 else edited(edited(words, "scattered", other), "scattered", other[::-1])
+        if not i % 2:
+            copy = copy[: 255 + i % 10]
+        assert 0.65 <= jaccard(words, copy) < 0.8
+        rows += [row(2 * i, " ".join(words)), row(2 * i + 1, " ".join(copy))]
+    five = prose(1, 104).split()  # 100 shingles; 25 more give 0.8, 26 more less
+    rows += [row(500, " ".join(five)), row(501, " ".join(five + prose(2, 25).split())), row(502, " ".join(prose(3, 26).split() + five))]
+    got = simhash.deduplicated(spark.createDataFrame(rows, SCHEMA), size=simhash.WIDE_SHINGLE, wide=True)
+    assert sorted(r.doc_id for r in got.collect()) == [*range(120), 500, 502]
