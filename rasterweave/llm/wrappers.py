@@ -18,7 +18,7 @@ broadcast up to a checked number and joined by a shuffle beyond.
 
 Defined results: null or empty html, or one without main text, gives an empty text; null urls are one host; pages of a
 host alone, and ties, need no other pages; repeated rows each get their row; an empty table gives an empty result;
-nesting beyond DEPTH is read as flat; other columns are ignored.
+nesting beyond DEPTH is read as flat, with its end tags matched and its bad parts left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,6 +101,7 @@ def parse(page: str) -> Node:
     """The page as a folded tree; a slot's texts are (order, text, link characters)."""
     root = Node("root")
     stack: list[tuple[str, Node]] = [("root", root)]
+    deep: list[tuple[str, tuple[str, ...]]] = []  # open elements beyond DEPTH: tag, and the marks of it and those around it there
     run: list[str] = []
     state = {"order": 0, "link": 0, "links": 0}
 
@@ -108,7 +109,10 @@ def parse(page: str) -> Node:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                stack[-1][1].kids.append(Node(SLOT, 0, None, [(state["order"], text, state["links"])]))
+                slot = Node(SLOT, 0, None, [(state["order"], text, state["links"])])
+                for mark in reversed(deep[-1][1] if deep else ()):
+                    slot = Node(mark, 0, [slot])
+                stack[-1][1].kids.append(slot)
                 state["order"] += 1
             run.clear()
         state["links"] = 0
@@ -118,10 +122,17 @@ def parse(page: str) -> Node:
         node.kids = folded(node.kids)
 
     def close(tags: set[str], until: set[str]) -> None:
+        for k in range(len(deep) - 1, -1, -1):
+            if deep[k][0] in until:
+                return
+            if deep[k][0] in tags:
+                del deep[k:]
+                return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in until:
                 return
             if stack[k][0] in tags:
+                deep.clear()
                 while len(stack) > k:
                     pop()
                 return
@@ -141,7 +152,7 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "a":
                 state["link"] = max(0, state["link"] - 1)
-            if tag not in INLINE or any(t == tag for t, _ in stack[-3:]):
+            if tag not in INLINE or any(t == tag for t, _ in (stack[-3:] + deep[-3:])[-3:]):
                 flush()
                 close({tag}, {"article", "main", "body"} - {tag} if tag == "p" else set())
         elif tag in RAW:
@@ -168,6 +179,9 @@ def parse(page: str) -> Node:
                 node = Node(label)
                 stack[-1][1].kids.append(node)
                 stack.append((tag, node))
+            else:
+                marks, mark = deep[-1][1] if deep else (), _mark(label)
+                deep.append((tag, (*marks, mark) if mark and mark not in marks else marks))
     if at < len(page):
         run.append(html.unescape(page[at:]))
     flush()
@@ -296,6 +310,13 @@ def _holds(kind: int, label: str) -> bool:
     return (tag == "article", tag == "main" or "main" in _words(label), tag not in ("html", "body", "root") and bool(_words(label) & GOOD_WORDS))[kind]
 
 
+def _mark(label: str) -> str | None:
+    """What stands for an element beyond DEPTH: a label of the same meaning, out of a few."""
+    if _bad(label, False):
+        return "aside" if _bad(label, True) else "header"
+    return next((m for kind, m in enumerate(("article", "main", "div.content")) if _holds(kind, label)), None)
+
+
 def container(node: Node) -> int | None:
     """What marks the main text: 0 article, 1 main, 2 a content word, None."""
     seen = set()

@@ -62,3 +62,16 @@ def test_merging_in_a_tree_of_groups(spark, monkeypatch):
     rows = [(i, "http://h.org/", page(i, "".join(f"<div class=k{'abcdefgh'[j]}>z{j}</div>" for j in range(8) if i >> j & 1)), "", "", 0) for i in range(16)]
     got = texts(spark.createDataFrame(rows, SCHEMA))
     assert got[5].endswith("para w5\nz0\nz2") and len(got) == 16
+
+
+def main_text(html):
+    tree = w.parse(html)
+    keep = w.chosen(tree, w.container(tree), figures=False)
+    return " ".join(t for _, t in sorted((o, t) for s in w.slots(tree) if id(s) in keep for o, t, _ in s.texts))
+
+
+def test_nesting_beyond_the_depth():
+    deep = "<div>" * 150 + "<p>in</p><nav><div>menu</div></nav><form><p>mail</form><p>more</p>" + "</div>" * 150
+    assert main_text(f"<body><div><article><p>first</p>{deep}<p>rest</p></article></div><p>out</p></body>") == "first in more rest"
+    far = "<div>" * 150 + "<p>before</p><article><p>in</p></article><p>after</p>" + "</div>" * 150
+    assert main_text(f"<body>{far}</body>") == "in"
