@@ -60,6 +60,8 @@ BAD_WORDS = set(
     "newsletter subscribe subscription share sharing social related recommended recommendations pagination pager paging login signin signup register "
     "search copyright legal toolbar skip hidden complementary contentinfo dialog form feedback".split()
 )
+#: Ids that tell readers' comments even inside an article, where other ids name its sections.
+TALK_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 WEAK_WORDS = {"header", "head", "masthead", "top"}
 GOOD_WORDS = {"article", "articlebody", "content", "entry", "post", "story", "main"}
 
@@ -85,15 +87,17 @@ class Node:
 
 
 def _label(tag: str, attrs: str) -> str:
-    """The tag with the words of its class, id and role, numbers left out."""
+    """The tag with the words of its class, id and role, numbers left out; = before a bad class name or role that is no
+    part of a longer one."""
     words = []
     if attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                words.append("hidden")
+                words += ["hidden", "=hidden"]
             elif name in ("class", "id", "role", "itemprop"):
                 words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+                words += [f"={x}" for x in value.lower().split() if x in (TALK_WORDS if name == "id" else BAD_WORDS)]
     return ".".join([tag, *sorted(set(words))])
 
 
@@ -297,10 +301,11 @@ def _words(label: str) -> set[str]:
 
 
 def _bad(label: str, inside: bool) -> bool:
+    """Whether an element has no main text; inside the container only whole class names and roles tell."""
     tag, words = label.split(".")[0], _words(label)
     if tag in ("html", "body", "root", "article", "main"):
         return bool(words & {"comment", "comments", "hidden"}) and tag == "article"
-    if tag in BAD_TAGS or words & BAD_WORDS:
+    if tag in BAD_TAGS or any(x[0] == "=" for x in words) or not inside and words & BAD_WORDS:
         return True
     return not inside and (tag == "header" or bool(words & WEAK_WORDS) and not words & GOOD_WORDS)
 
@@ -317,12 +322,16 @@ def _mark(label: str) -> str | None:
     return next((m for kind, m in enumerate(("article", "main", "div.content")) if _holds(kind, label)), None)
 
 
-def container(node: Node) -> int | None:
-    """What marks the main text: 0 article, 1 main, 2 a content word, None."""
+def _encloses(node: Node) -> bool:
+    """Whether an article or main container with text is in the element, which no whole name rejects."""
+    return any((_holds(0, k.label) or _holds(1, k.label)) and not _bad(k.label, True) and any(True for _ in slots(k)) or (k.label == GROUP or not _bad(k.label, True)) and _encloses(k) for k in node.kids)
+
+
+def _container(node: Node, loose: bool) -> int | None:
     seen = set()
 
     def walk(n: Node) -> None:
-        if n.label != GROUP and _bad(n.label, False):
+        if n.label != GROUP and _bad(n.label, False) and not (loose and not _bad(n.label, True) and _encloses(n)):
             return
         for kind in range(3):
             if _holds(kind, n.label) and any(True for _ in slots(n)):
@@ -334,10 +343,25 @@ def container(node: Node) -> int | None:
     return min(seen, default=None)
 
 
-def chosen(tree: Node, kind: int | None, figures: bool = True) -> set[int]:
+def found(node: Node) -> tuple[int | None, bool]:
+    """The container, and whether it is one that only elements with a bad word in a longer name (has-sidebar) enclose."""
+    kind = _container(node, False)
+    if kind in (0, 1):
+        return kind, False
+    wide = _container(node, True)
+    return (wide, True) if wide in (0, 1) else (kind, False)
+
+
+def container(node: Node) -> int | None:
+    """What marks the main text: 0 article, 1 main, 2 a content word, None."""
+    return found(node)[0]
+
+
+def chosen(tree: Node, kind: int | None, figures: bool = True, loose: bool | None = None) -> set[int]:
     """The identities of the slots of a wrapper (or, without figures, of a page) that hold main text in pages whose
-    container is `kind`."""
+    container is `kind`; loose as of found()."""
     out = set()
+    loose = found(tree)[1] if loose is None else loose
     # Where no slot differs between pages, they are copies, and sameness tells nothing.
     copies = figures and not any(min(x[3] for x in s.texts) != max(x[4] for x in s.texts) for s in slots(tree) if s.texts)
 
@@ -347,7 +371,7 @@ def chosen(tree: Node, kind: int | None, figures: bool = True) -> set[int]:
                 out.add(id(n))
             return
         if n.label != GROUP:
-            if _bad(n.label, inside):
+            if _bad(n.label, inside) and not (loose and not _bad(n.label, True) and _encloses(n)):
                 return
             inside = inside or kind is not None and _holds(kind, n.label)
         for k in n.kids:
@@ -365,8 +389,8 @@ def _varied(stats: list, copies: bool) -> bool:
 def mask(wrapper: Node, page: Node) -> str:
     """One 0 or 1 for each slot of the page, by the wrapper slot that it is aligned with, under the page's own kind of
     container; a slot that finds no partner is judged by its place in the page."""
-    kind = container(page)
-    good, alone, met_slots, keep = chosen(wrapper, kind), chosen(page, kind, figures=False), set(), set()
+    kind, loose = found(page)
+    good, alone, met_slots, keep = chosen(wrapper, kind, loose=loose), chosen(page, kind, figures=False, loose=loose), set(), set()
     # Slots are told apart by their texts, which meeting nodes carry along.
     own = list(slots(page))
     for i, s in enumerate(own):

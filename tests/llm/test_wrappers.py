@@ -75,3 +75,12 @@ def test_nesting_beyond_the_depth():
     assert main_text(f"<body><div><article><p>first</p>{deep}<p>rest</p></article></div><p>out</p></body>") == "first in more rest"
     far = "<div>" * 150 + "<p>before</p><article><p>in</p></article><p>after</p>" + "</div>" * 150
     assert main_text(f"<body>{far}</body>") == "in"
+
+
+def test_names_that_only_hold_a_bad_word():
+    for name in ("layout has-sidebar", "nav-open", "with-menu", "no-sidebar"):
+        side = '<div class="sidebar"><article>teaser</article></div><div class="related-posts">more</div>'
+        assert main_text(f'<body><div class="{name}"><article><p>text</p></article>{side}</div></body>') == "text"
+    inner = '<section id="search-methods"><p>a</p></section><h2 id="legal-history">b</h2><div class="share">no</div><div id="comments">no</div>'
+    assert main_text(f"<body><article>{inner}</article></body>") == "a b"
+    assert main_text('<body><div class="related-posts"><article>other</article></div><main>own</main></body>') == "own"
