@@ -33,7 +33,12 @@ from .common import table
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 _FIELDS = ["record_id", "record_type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", "source_headers", "block"]
 RECORD = ", ".join(f"{c} string" for c in _FIELDS) + ", content_length long"
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
+_BODY = r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+_GONE = re.compile(_BODY + rf"|<(noscript|template|iframe|svg)\b({_ATTRS})>", re.S | re.I)
+_ANY = re.compile(_BODY + rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>", re.S | re.I)
+_QUIET = re.compile(r"<!--.*?(?:-->|\Z)|(<script\b[^>]*>).*?(?:</script\s*>|\Z)", re.S | re.I)
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
@@ -48,15 +53,44 @@ def named(refers_to: str, kind: str, block: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{refers_to} {kind} {hashlib.sha256(block).hexdigest()}')}>"
 
 
+def ended(page: str, at: int, name: str) -> int:
+    """Where the element `name` opened before `at` ends: past its end tag, or else before that of its parent."""
+    inner = [name]
+    for m in _ANY.finditer(page, at):
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if not m[2]:
+            if tag not in _VOID and not m[4].endswith("/"):
+                inner.append(tag)
+        elif tag not in inner:
+            return m.start()
+        else:
+            while inner.pop() != tag:
+                pass
+            if not inner:
+                return m.end()
+    return len(page)
+
+
+def shown(page: str) -> str:
+    """The page without comments, scripts, styles and elements that show no text."""
+    out, at = [], 0
+    while m := _GONE.search(page, at):
+        out.append(page[at : m.start()])
+        at = m.end() if m[2] is None or m[3].endswith("/") else ended(page, m.end(), m[2].lower())
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """All text outside markup, a line a block, in page order."""
-    kept = _TAG.sub("", _BREAK.sub("\n", _GONE.sub("", page)))
+    kept = _TAG.sub("", _BREAK.sub("\n", shown(page)))
     return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(kept).split("\n")) if x)
 
 
 def described(page: str, headers: dict, uri: str | None, payload_digest: str, n_bytes: int) -> bytes:
     title = _TITLE.search(page)
-    links = [{"path": m[1].lower(), "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(_GONE.sub("", page))]
+    links = [{"path": m[1].lower(), "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(_QUIET.sub(r"\1", page))]
     out = {"target-uri": uri, "headers": headers, "payload-digest": payload_digest, "payload-length": n_bytes, "title": html.unescape(" ".join(title[1].split())) if title else None, "links": links}
     return json.dumps(out, ensure_ascii=False, separators=(",", ":")).encode()
 

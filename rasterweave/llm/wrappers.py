@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, joined, table
+from .warc import ended
 
 FAN, DEPTH, PERIOD = 64, 100, 4
 #: Two sibling lists are aligned exactly up to this product of their lengths, greedily beyond.
@@ -46,7 +47,8 @@ SLOT, GROUP = "#", "()"
 #: Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr picture q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = set("script style noscript template iframe textarea svg math object select title".split())
+INLINE |= set("math semantics maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
+RAW = set("script style noscript template iframe textarea svg annotation annotation-xml object select title".split())
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: Opening one of these ends an open element of the second set, up to an element of the third.
 ENDS = {
@@ -160,6 +162,12 @@ def parse(page: str) -> Node:
                 flush()
                 close({tag}, {"article", "main", "body"} - {tag} if tag == "p" else set())
         elif tag in RAW:
+            if tag not in ("script", "style"):
+                if not attrs.endswith("/"):
+                    at = ended(page, at, tag)
+                if tag not in ("svg", "annotation", "annotation-xml"):
+                    flush()
+                continue
             flush()
             end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)

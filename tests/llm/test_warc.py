@@ -29,3 +29,13 @@ def test_records(spark):
 def test_long_page():
     text = "<p>" + "w " * 200_000
     assert len(warc.plain_text(text)) == 399_999
+
+
+def test_closed_and_unclosed_elements():
+    for one in ('<svg class="i"/>', "<iframe/>", "<template/>", "<svg><path d='a'/>x</svg>"):
+        assert warc.plain_text(f"<p>a</p>{one}<p>rest</p>") == "a\nrest"
+    assert warc.plain_text("<div><p>a</p><svg><g>x</div><p>rest</p><svg>y</svg>") == "a\nrest"
+    assert warc.plain_text("<p>a</p><script>b<p>c") == "a"
+    page = '<!-- <a href="/no"> --><script src="/s.js">"<a href=/no>"</script><iframe src="/f"></iframe><svg/><a href="/l">l</a>'
+    got = warc.json.loads(warc.described(page, {}, None, "", 0))["links"]
+    assert [(x["path"], x["url"]) for x in got] == [("script", "/s.js"), ("iframe", "/f"), ("a", "/l")]

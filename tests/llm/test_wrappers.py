@@ -84,3 +84,8 @@ def test_names_that_only_hold_a_bad_word():
     inner = '<section id="search-methods"><p>a</p></section><h2 id="legal-history">b</h2><div class="share">no</div><div id="comments">no</div>'
     assert main_text(f"<body><article>{inner}</article></body>") == "a b"
     assert main_text('<body><div class="related-posts"><article>other</article></div><main>own</main></body>') == "own"
+
+
+def test_icons_and_formulas():
+    assert main_text('<article><p>a <svg class="i"/>b</p><p>c <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><p>d</article>') == "a b c x=1 d"
+    assert main_text("<article><div>a<svg><g>no</div><p>rest</p></article>") == "a rest"
