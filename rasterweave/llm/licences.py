@@ -11,7 +11,8 @@ predictions are right in TRUST of the cases. A paragraph is
 * its family, if that is likely enough and CONFIRM of a template's 3-grams occur in the paragraph;
 * unknown, if a family is likeliest but not likely enough, or no template of it confirms.
 
-Every paragraph (line) of every whole text is scored. The model is a few thousand features and is sent to the executors.
+Every paragraph (line) of every whole text is scored, and so are stretches of consecutive lines, in which hard-wrapped
+notices stand: a family that none of a stretch's lines has is told at the first line of the stretch. The model is a few thousand features and is sent to the executors.
 
 Defined results: null and empty texts have no paragraphs and no licences; a paragraph without known words is none;
 equal probabilities go to the first family by name; repeated rows each get their row; an empty table gives an empty
@@ -35,6 +36,8 @@ from .common import table
 SAMPLE, TRUST, CONFIRM = 2000, 0.99, 0.6
 VARIANTS, EPOCHS, SEED = 24, 26, 11
 GRAMS = 3
+#: Lines of the stretches in which hard-wrapped notices are looked for, besides single lines and whole runs.
+WRAPPED = (4, 8)
 #: Well-known licence notices by family.
 TEMPLATES = {
     "all-rights-reserved": ["All rights reserved.", "All rights reserved worldwide.", "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher."],
@@ -237,6 +240,18 @@ def sampled(docs: DataFrame, text: str, n: int = SAMPLE) -> list[str]:
     return [r.p for r in lines.distinct().orderBy("h", "p").limit(n).collect()]
 
 
+def stretches(lines: list[tuple[int, list[bytes]]]) -> list[list[tuple[int, list[bytes]]]]:
+    """Of every run of consecutive lines (index, words): half overlapping stretches of WRAPPED lines, and the whole run."""
+    runs: list[list[tuple[int, list[bytes]]]] = []
+    for x in lines:
+        if runs and x[0] == runs[-1][-1][0] + 1:
+            runs[-1].append(x)
+        else:
+            runs.append([x])
+    runs = [r for r in runs if len(r) > 1]
+    return [r[at : at + n] for n in WRAPPED for r in runs if len(r) > n for at in range(0, len(r) - n // 2, n // 2)] + runs
+
+
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_paragraphs, licences (array of paragraph, family)."""
     model = model or fitted(sampled(docs, text))
@@ -251,22 +266,23 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
             counts, found, owners, paragraphs, size = [], [[] for _ in range(b.num_rows)], [], [], 0
 
             def flush() -> None:
-                for (k, i), family in zip(owners, judge.families(paragraphs), strict=True):
-                    if family != "none":
+                for (k, i, last), family in zip(owners, judge.families(paragraphs), strict=True):
+                    if i == last and family != "none" or i < last and family not in ("none", "unknown") and not any(x["family"] == family and i <= x["paragraph"] <= last for x in found[k]):
                         found[k].append({"paragraph": i, "family": family})
+                for k in {k for k, _, _ in owners}:
+                    found[k].sort(key=lambda x: x["paragraph"])
                 owners.clear()
                 paragraphs.clear()
 
             for k, t in enumerate(b.column(1).cast(pa.binary())):
                 lines = (t.as_py() or b"").translate(_KEEP).split(b"\n")
-                n = 0
-                for i, line in enumerate(lines):
-                    if w := line.split():
-                        owners.append((k, i))
-                        paragraphs.append(w)
-                        size += len(w)
-                        n += 1
-                counts.append(n)
+                own = [(i, w) for i, line in enumerate(lines) if (w := line.split())]
+                # The lines themselves first: what a line holds is not told again for a stretch.
+                for part in [[x] for x in own] + stretches(own):
+                    owners.append((k, part[0][0], part[-1][0]))
+                    paragraphs.append([x for _, w in part for x in w])
+                    size += len(paragraphs[-1])
+                counts.append(len(own))
                 if size > 300_000:
                     flush()
                     size = 0

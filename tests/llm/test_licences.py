@@ -36,3 +36,11 @@ def test_scan(spark, docs, none, rows, model):
     one = q.scanned(spark.createDataFrame([row(1, text)], SCHEMA), model=model).first()
     assert [(x.paragraph, x.family) for x in one.licences] == [(2, "all-rights-reserved"), (4, "cc-by-nc-4.0")] and one.n_paragraphs == 4
     assert q.scanned(none).count() == 0
+
+
+def test_wrapped_notices(spark, model):
+    gpl = "You can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License version 3."
+    cc = "This work is licensed under a\nCreative Commons Attribution-ShareAlike\n4.0 International License."
+    text = prose(1, 30) + "\n\n" + gpl + "\n\n" + "\n".join(prose(20 + i, 9) for i in range(30)) + "\n" + cc + "\n" + "\n".join(prose(60 + i, 9) for i in range(30))
+    one = q.scanned(spark.createDataFrame([row(1, text)], SCHEMA), model=model).first()
+    assert {x.family for x in one.licences} - {"unknown"} == {"gpl-3.0", "cc-by-sa-4.0"}
