@@ -1,35 +1,43 @@
 """Main text of pages by union-free wrapper inference.
 
 A page's tag stream becomes a tree of block elements with text slots; inline markup stays inside a slot. Its own
-repetitions are folded first (same-label neighbours, and runs of up to four labels), which gives a skeleton. The
+repetitions are folded first (same-label neighbours, and runs of any period), which gives a skeleton. The
 distinct skeletons of a host, few even where a host has a third of all pages, are aligned one after another: a slot
-meets a slot, elements of one label are aligned recursively, a longest common subsequence matches siblings, and what
-has no partner becomes optional. The outcome is the host's wrapper, a regular expression of sequences, optional and
+meets a slot, elements of one label are aligned recursively, longest common subsequences match siblings, and what has
+no partner becomes optional. The outcome is the host's wrapper, a regular expression of sequences, optional and
 repeated groups and slots without unions. Skeletons are merged in a tree of groups of about FAN, so no task gets all
-of a host. The wrapper decides which slots hold the main text:
+of a host. Every slot of the wrapper carries the figures of all pages that meet there, and they decide first:
 
-* none in elements, or under class, id and role words, of menus, headers, footers, sidebars, notices, adverts, forms
-  and comments, nor in hidden ones;
-* in pages with article elements (else main ones, else ones with a content word in class or id), the slots in those;
-* in other pages the slots whose text differs between the host's pages (unless all are copies) and is not mostly links.
+* a slot whose text is the same in all of at least ALIKE pages is template, unless the host's pages are copies; one
+  that is mostly links is a menu; the others are data;
+* the region of the main text is the deepest part of the wrapper that holds MOST of the data characters;
+* an article, main or content element is a container if it holds data; its slots are kept, outside of bad elements:
+  menus, headers, footers, sidebars, adverts, forms and comments by element, role or whole class name. A class name
+  that is doubtful inside an article (search, legal, notice, share, ...) counts only where the figures say template
+  or menu;
+* in pages without a container the data slots of the region are kept, again outside of bad elements.
 
 Each (host, skeleton) gets its mask of slots; the pages are read again and the mask picks their texts. Masks are
-broadcast up to a checked number and joined by a shuffle beyond.
+broadcast up to a checked number of bytes and joined by a shuffle beyond. by_evidence tells the pages on which the
+figures alone, blind to all names of tags and classes, keep the same slots.
 
 Defined results: null or empty html, or one without main text, gives an empty text; null urls are one host; pages of a
 host alone, and ties, need no other pages; repeated rows each get their row; an empty table gives an empty result;
-nesting beyond DEPTH is read as flat, with its end tags matched and its bad parts left out; other columns are ignored.
+nesting of any depth is kept; bytes that are no UTF-8 are read as U+FFFD; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +46,13 @@ from pyspark.sql import functions as F
 from .common import checkpointed, joined, table
 from .warc import ended
 
-FAN, DEPTH, PERIOD = 64, 100, 4
-#: Two sibling lists are aligned exactly up to this product of their lengths, greedily beyond.
-EXACT = 250_000
+FAN, FEW = 64, 4
+#: A text that so many pages or more share at a slot is template; the share of the data that the main region holds.
+ALIKE, MOST = 3, (3, 4)
+#: Two sibling lists of at most this product of lengths are aligned by a plain table, longer ones in linear space.
+TABLE = 4096
 OPTIONAL, REPEATED = 1, 2
-SLOT, GROUP = "#", "()"
+SLOT, GROUP = "#", "*"
 
 #: Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +60,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 INLINE |= set("math semantics maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
 RAW = set("script style noscript template iframe textarea svg annotation annotation-xml object select title".split())
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+#: Elements that hold blocks of a text and are no region of their own.
+BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table tbody thead tfoot tr td th blockquote pre figure figcaption details summary address".split())
 #: Opening one of these ends an open element of the second set, up to an element of the third.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -62,6 +74,11 @@ BAD_WORDS = set(
     "newsletter subscribe subscription share sharing social related recommended recommendations pagination pager paging login signin signup register "
     "search copyright legal toolbar skip hidden complementary contentinfo dialog form feedback".split()
 )
+#: Whole class names and roles that tell even inside an article; other bad words are doubtful there.
+SURE_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising sponsored promo nav navbar navigation breadcrumb breadcrumbs sidebar footer comment comments reply "
+    "replies respond disqus cookie cookies consent gdpr newsletter subscribe pagination pager paging toolbar skip hidden complementary contentinfo".split()
+)
 #: Ids that tell readers' comments even inside an article, where other ids name its sections.
 TALK_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 WEAK_WORDS = {"header", "head", "masthead", "top"}
@@ -72,20 +89,73 @@ _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:
 
 
 class Node:
-    """An element, a slot (texts: order, text, characters inside links) or a repeated group."""
+    """An element, a slot or a repeated group. texts of a slot: (order, text, characters inside links) in a page, and
+    figures in a wrapper: pages, characters, characters inside links, least and greatest text hash."""
 
-    __slots__ = ("label", "flag", "kids", "texts")
+    __slots__ = ("label", "flag", "kids", "texts", "shape")
 
     def __init__(self, label: str, flag: int = 0, kids: list | None = None, texts: list | None = None):
-        self.label, self.flag, self.kids, self.texts = label, flag, kids or [], texts or []
+        self.label, self.flag, self.texts = label, flag, texts or []
+        self.filled(kids or [])
+
+    def filled(self, kids: list[Node]) -> None:
+        """Sets the parts, and with them the shape: equal in this process for trees with equal labels."""
+        self.kids, self.shape = kids, hash((self.label, *[k.shape for k in kids]))
+
+
+def plain(tree: Node, figures: bool = False) -> str:
+    """The tree as text, its slots with their figures if asked for."""
+    out: list[str] = []
+    todo: list[Node | str] = [tree]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        out.append(f"{n.flag}{n.label}" + ("|" + ";".join(str(x) for f in n.texts for x in f) if figures and n.texts else ""))
+        if n.kids:
+            out.append("{")
+            todo.append("}")
+            todo += reversed(n.kids)
+        else:
+            out.append(",")
+    return "".join(out)
 
-    def plain(self) -> list:
-        """For JSON. A slot keeps statistics: pages, characters, link characters, least and largest text hash."""
-        return [self.label, self.flag, [k.plain() for k in self.kids]] + ([self.texts] if self.label == SLOT and self.texts else [])
 
-    @staticmethod
-    def of(x: list) -> Node:
-        return Node(x[0], x[1], [Node.of(k) for k in x[2]], x[3] if len(x) > 3 else None)
+def tree_of(text: str) -> Node:
+    """What plain() gave as a tree."""
+    path = [Node("")]
+    for m in re.finditer(r"([^{},]+)([{,])|\}", text):
+        if m[1] is None:
+            done = path.pop()
+            done.filled(done.kids)
+            continue
+        name, _, rest = m[1].partition("|")
+        n = Node(name[1:], int(name[0]))
+        if rest:
+            f = [int(x) for x in rest.split(";")]
+            n.texts = [f[i : i + 5] for i in range(0, len(f), 5)]
+        path[-1].kids.append(n)
+        if m[2] == "{":
+            path.append(n)
+            room(len(path))
+    return path[0].kids[0]
+
+
+def room(depth: int) -> None:
+    """Lets plain Python recursion go down that far."""
+    if 6 * depth + 1000 > sys.getrecursionlimit():
+        sys.setrecursionlimit(12 * depth + 2000)
+
+
+def below(tree: Node) -> list[Node]:
+    """All nodes, parents before children, in page order."""
+    out, todo = [], [tree]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo += reversed(n.kids)
+    return out
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -100,14 +170,14 @@ def _label(tag: str, attrs: str) -> str:
             elif name in ("class", "id", "role", "itemprop"):
                 words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
                 words += [f"={x}" for x in value.lower().split() if x in (TALK_WORDS if name == "id" else BAD_WORDS)]
-    return ".".join([tag, *sorted(set(words))])
+    return ".".join([re.sub(r"[^a-z0-9:_-]", "", tag), *sorted(set(words))])
 
 
 def parse(page: str) -> Node:
     """The page as a folded tree; a slot's texts are (order, text, link characters)."""
     root = Node("root")
     stack: list[tuple[str, Node]] = [("root", root)]
-    deep: list[tuple[str, tuple[str, ...]]] = []  # open elements beyond DEPTH: tag, and the marks of it and those around it there
+    opened: Counter[str] = Counter()
     run: list[str] = []
     state = {"order": 0, "link": 0, "links": 0}
 
@@ -115,30 +185,23 @@ def parse(page: str) -> Node:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                slot = Node(SLOT, 0, None, [(state["order"], text, state["links"])])
-                for mark in reversed(deep[-1][1] if deep else ()):
-                    slot = Node(mark, 0, [slot])
-                stack[-1][1].kids.append(slot)
+                stack[-1][1].kids.append(Node(SLOT, 0, None, [(state["order"], text, state["links"])]))
                 state["order"] += 1
             run.clear()
         state["links"] = 0
 
     def pop() -> None:
-        node = stack.pop()[1]
-        node.kids = folded(node.kids)
+        tag, node = stack.pop()
+        opened[tag] -= 1
+        node.filled(folded(node.kids))
 
     def close(tags: set[str], until: set[str]) -> None:
-        for k in range(len(deep) - 1, -1, -1):
-            if deep[k][0] in until:
-                return
-            if deep[k][0] in tags:
-                del deep[k:]
-                return
+        if not any(opened[t] > 0 for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in until:
                 return
             if stack[k][0] in tags:
-                deep.clear()
                 while len(stack) > k:
                     pop()
                 return
@@ -158,7 +221,7 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "a":
                 state["link"] = max(0, state["link"] - 1)
-            if tag not in INLINE or any(t == tag for t, _ in (stack[-3:] + deep[-3:])[-3:]):
+            if tag not in INLINE or any(t == tag for t, _ in stack[-3:]):
                 flush()
                 close({tag}, {"article", "main", "body"} - {tag} if tag == "p" else set())
         elif tag in RAW:
@@ -187,13 +250,11 @@ def parse(page: str) -> Node:
                 close({"p"}, {"table", "button", "td", "th", "li"} if tag != "p" else {"table", "button", "td", "th"})
             if tag in ENDS:
                 close(*ENDS[tag])
-            if len(stack) < DEPTH:
-                node = Node(label)
-                stack[-1][1].kids.append(node)
-                stack.append((tag, node))
-            else:
-                marks, mark = deep[-1][1] if deep else (), _mark(label)
-                deep.append((tag, (*marks, mark) if mark and mark not in marks else marks))
+            node = Node(label)
+            stack[-1][1].kids.append(node)
+            stack.append((tag, node))
+            opened[tag] += 1
+            room(len(stack))
     if at < len(page):
         run.append(html.unescape(page[at:]))
     flush()
@@ -202,32 +263,67 @@ def parse(page: str) -> Node:
     return root
 
 
+@lru_cache(20_000)
+def _bare(label: str) -> bool:
+    """Whether a label says nothing of what its element is for."""
+    return "." not in label and label not in BLOCKS - {"table", "td", "th"} and label not in (SLOT, GROUP)
+
+
 def folded(kids: list[Node]) -> list[Node]:
-    """Siblings with repeated neighbours and repeated runs of labels folded."""
+    """Siblings with repeated neighbours and repeated runs folded: those of one label, but bare ones only from FEW of one
+    shape on, as fewer may each have a part of their own."""
     out: list[Node] = []
-    for k in kids:
-        if out and out[-1].label == k.label:
-            out[-1] = met(out[-1], k)
-            out[-1].flag |= REPEATED
+    at = 0
+    while at < len(kids):
+        k, end = kids[at], at + 1
+        if not _bare(k.label):
+            while end < len(kids) and kids[end].label == k.label:
+                end += 1
         else:
-            out.append(k)
-    for period in range(2, PERIOD + 1):
-        i = 0
-        while i + 2 * period <= len(out):
-            names = [k.label for k in out[i : i + period]]
-            if GROUP not in names and names == [k.label for k in out[i + period : i + 2 * period]]:
-                out = gathered(out, names, i)
-            i += 1
+            while end < len(kids) and kids[end].shape == k.shape:
+                end += 1
+            if end - at < FEW:
+                end = at + 1
+        for other in kids[at + 1 : end]:
+            k = met(k, other)
+        if end - at > 1:
+            k.flag |= REPEATED
+        out.append(k)
+        at = end
+    period = 2
+    code = codes(out)
+    while 2 * period <= len(out):
+        at = repeat(code, period)
+        if at is None:
+            period += 1
+        else:
+            out = gathered(out, [k.label for k in out[at : at + period]], at)
+            code = codes(out)
     return out
 
 
+def codes(kids: list[Node]) -> np.ndarray:
+    """A number for each label, or shape of a bare one; each group has its own, below 0."""
+    if len(kids) < 4:
+        return np.zeros(0, np.int64)
+    known: dict[str | int, int] = {}
+    return np.array([known.setdefault(k.shape if _bare(k.label) else k.label, len(known)) if k.label != GROUP else -1 - i for i, k in enumerate(kids)], np.int64)
+
+
+def repeat(code: np.ndarray, period: int) -> int | None:
+    """Where the first run of `period` codes stands that follows itself at once."""
+    same = np.concatenate([[0], np.cumsum(code[:-period] == code[period:])])
+    at = np.nonzero(same[period:] - same[:-period] == period)[0]
+    return int(at[0]) if len(at) else None
+
+
 def gathered(kids: list[Node], names: list[str], at: int = 0) -> list[Node]:
     """kids with every run of the labels `names` from `at` on made one repeated group."""
     out, n = kids[:at], len(names)
     while at < len(kids):
         if [k.label for k in kids[at : at + n]] == names:
             if out and out[-1].label == GROUP and [k.label for k in out[-1].kids] == names:
-                out[-1].kids = aligned(out[-1].kids, kids[at : at + n])
+                out[-1].filled(aligned(out[-1].kids, kids[at : at + n]))
             else:
                 out.append(Node(GROUP, REPEATED, kids[at : at + n]))
             at += n
@@ -242,19 +338,40 @@ def met(a: Node, b: Node) -> Node:
     return Node(a.label, a.flag | b.flag, aligned(a.kids, b.kids), a.texts + b.texts)
 
 
-def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence (a greedy one for very long lists)."""
+def matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence."""
     if a == b:
         return [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > EXACT:
-        out, j = [], 0
-        for i, x in enumerate(a):
-            try:
-                j = b.index(x, j) + 1
-            except ValueError:
-                continue
-            out.append((i, j - 1))
-        return out
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    inner = _matched(a[head : len(a) - tail], b[head : len(b) - tail])
+    return [(i, i) for i in range(head)] + [(head + i, head + j) for i, j in inner] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def partners(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of siblings that are taken as one: a longest common subsequence of shapes, and one of labels between those."""
+    out, i, j = [], 0, 0
+    for p, q in [*matches([k.shape for k in a], [k.shape for k in b]), (len(a), len(b))]:
+        out += [(i + x, j + y) for x, y in matches([k.label for k in a[i:p]], [k.label for k in b[j:q]])]
+        if p < len(a):
+            out.append((p, q))
+        i, j = p + 1, q + 1
+    return out
+
+
+def _matched(a: list, b: list) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) * len(b) > TABLE and len(a) > 1:
+        # The half of a and the cut of b with the most pairs on both sides; each side is matched on its own.
+        half, code = len(a) // 2, {x: i for i, x in enumerate(dict.fromkeys(a + b))}
+        x, y = (np.array([code[k] for k in part]) for part in (a, b))
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _matched(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in _matched(a[half:], b[cut:])]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -271,6 +388,14 @@ def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most pairs of a with each prefix of b."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
 def _grouped_alike(a: list[Node], b: list[Node]) -> tuple[list[Node], list[Node]]:
     """Both lists with the groups of either made in the other as well."""
     for x, first in ((a, True), (b, False)):
@@ -287,7 +412,7 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     """Two sibling lists as one: partners met, the rest optional."""
     a, b = _grouped_alike(a, b)
     out, i, j = [], 0, 0
-    for p, q in [*matches([k.label for k in a], [k.label for k in b]), (len(a), len(b))]:
+    for p, q in [*partners(a, b), (len(a), len(b))]:
         for k in (*a[i:p], *b[j:q]):
             k.flag |= OPTIONAL
             out.append(k)
@@ -297,132 +422,169 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     return out
 
 
-def slots(node: Node) -> Iterator[Node]:
-    if node.label == SLOT:
-        yield node
-    for k in node.kids:
-        yield from slots(k)
+def slots(tree: Node) -> list[Node]:
+    return [n for n in below(tree) if n.label == SLOT]
 
 
 def _words(label: str) -> set[str]:
     return set(label.split(".")[1:])
 
 
+def _tag(label: str) -> str:
+    return label.partition(".")[0]
+
+
+@lru_cache(20_000)
 def _bad(label: str, inside: bool) -> bool:
-    """Whether an element has no main text; inside the container only whole class names and roles tell."""
-    tag, words = label.split(".")[0], _words(label)
+    """Whether an element has no main text by its name alone; inside the container only sure names tell."""
+    tag, words = _tag(label), _words(label)
     if tag in ("html", "body", "root", "article", "main"):
         return bool(words & {"comment", "comments", "hidden"}) and tag == "article"
-    if tag in BAD_TAGS or any(x[0] == "=" for x in words) or not inside and words & BAD_WORDS:
+    if tag in BAD_TAGS or any(x[1:] in SURE_WORDS for x in words if x[0] == "=") or not inside and words & BAD_WORDS:
         return True
     return not inside and (tag == "header" or bool(words & WEAK_WORDS) and not words & GOOD_WORDS)
 
 
-def _holds(kind: int, label: str) -> bool:
-    tag = label.split(".")[0]
-    return (tag == "article", tag == "main" or "main" in _words(label), tag not in ("html", "body", "root") and bool(_words(label) & GOOD_WORDS))[kind]
-
-
-def _mark(label: str) -> str | None:
-    """What stands for an element beyond DEPTH: a label of the same meaning, out of a few."""
-    if _bad(label, False):
-        return "aside" if _bad(label, True) else "header"
-    return next((m for kind, m in enumerate(("article", "main", "div.content")) if _holds(kind, label)), None)
+@lru_cache(20_000)
+def _doubtful(label: str) -> bool:
+    """Whether a whole class name or role of the element is a bad word that is not sure."""
+    return _tag(label) not in ("html", "body", "root", "article", "main") and any(x[0] == "=" for x in _words(label))
 
 
-def _encloses(node: Node) -> bool:
-    """Whether an article or main container with text is in the element, which no whole name rejects."""
-    return any((_holds(0, k.label) or _holds(1, k.label)) and not _bad(k.label, True) and any(True for _ in slots(k)) or (k.label == GROUP or not _bad(k.label, True)) and _encloses(k) for k in node.kids)
+@lru_cache(20_000)
+def _holds(kind: int, label: str) -> bool:
+    tag = _tag(label)
+    return (tag == "article", tag == "main" or "main" in _words(label), tag not in ("html", "body", "root") and bool(_words(label) & GOOD_WORDS))[kind]
 
 
-def _container(node: Node, loose: bool) -> int | None:
-    seen = set()
+class View:
+    """A tree with what holds below each of its nodes."""
+
+    def __init__(self, tree: Node):
+        self.tree, self.nodes = tree, below(tree)
+        self.text: set[int] = set()  # nodes with a slot at or below them
+        self.encloses: set[int] = set()  # nodes that hold an article or main container with text, which no sure name rejects
+        for n in reversed(self.nodes):
+            if n.label == SLOT or any([id(k) in self.text for k in n.kids]):
+                self.text.add(id(n))
+            for k in n.kids:
+                fine = k.label == GROUP or not _bad(k.label, True)
+                if fine and ((_holds(0, k.label) or _holds(1, k.label)) and id(k) in self.text or id(k) in self.encloses):
+                    self.encloses.add(id(n))
+
+    def out(self, n: Node, inside: bool, loose: bool) -> bool:
+        return n.label not in (GROUP, SLOT) and _bad(n.label, inside) and not (loose and not _bad(n.label, True) and id(n) in self.encloses)
+
+    def container(self, loose: bool) -> int | None:
+        seen, todo = set(), [self.tree]
+        while todo:
+            n = todo.pop()
+            if not self.out(n, False, loose):
+                seen |= {kind for kind in range(3) if n.label not in (GROUP, SLOT) and id(n) in self.text and _holds(kind, n.label)}
+                todo += n.kids
+        return min(seen, default=None)
+
+    def found(self) -> tuple[int | None, bool]:
+        """What marks the main text (0 article, 1 main, 2 a content word, None), and whether it is one that only
+        elements with a bad word in a longer name (has-sidebar) enclose."""
+        kind = self.container(False)
+        if kind in (0, 1):
+            return kind, False
+        wide = self.container(True)
+        return (wide, True) if wide in (0, 1) else (kind, False)
+
+    def data(self, only: set[int] | None = None) -> dict[int, int]:
+        """The data characters of every slot (of `only`), by identity: 0 for template and menus."""
+        own = [(n, [sum(x) for x in zip(*[f[:3] for f in n.texts], strict=True)], min(f[3] for f in n.texts), max(f[4] for f in n.texts)) for n in self.nodes if n.label == SLOT and n.texts and len(n.texts[0]) == 5]
+        # Where no slot differs between pages, they are copies, and sameness tells nothing.
+        copies = not any(low != high for _, _, low, high in own)
+        out = {id(n): 1 for n in self.nodes if n.label == SLOT and not n.texts}
+        out |= {id(n): chars if 2 * link < chars and (low != high or pages < ALIKE or copies) else 0 for n, (pages, chars, link), low, high in own}
+        out |= {id(n): sum(len(t) for _, t, _ in n.texts) for n in self.nodes if n.label == SLOT and n.texts and len(n.texts[0]) == 3}
+        return {k: v for k, v in out.items() if only is None or k in only}
+
+    def region(self, data: dict[int, int], blind: bool, loose: bool) -> Node:
+        """The deepest node of blocks with MOST of the data characters; blind to names, or without bad elements."""
+        mass: dict[int, int] = {}
+        for n in reversed(self.nodes):
+            mass[id(n)] = 0 if not blind and self.out(n, False, loose) else data.get(id(n), 0) + sum([mass[id(k)] for k in n.kids])
+        n = self.tree
+        while deeper := [k for k in n.kids if k.label != SLOT and _tag(k.label) not in BLOCKS and k.label != GROUP and not k.flag & REPEATED and any([x.label != SLOT for x in k.kids]) and MOST[1] * mass[id(k)] >= MOST[0] * mass[id(n)] > 0]:
+            n = deeper[0]
+        return n
+
+    def chosen(self, kind: int | None, loose: bool, only: set[int] | None = None) -> set[int]:
+        """The identities of the slots that hold main text in pages whose container is `kind` (loose as of found()) and
+        whose slots are those of `only`."""
+        data, out = self.data(only), set()
+        if kind is not None and not self._kept(self.tree, kind, loose, data, out):
+            # No container of the kind holds data: what is there is template, and the region of the data decides.
+            kind = None
+        if kind is None:
+            out.clear()
+            region = self.region(data, False, loose)
+            todo = [(region, self.out(region, False, loose))]
+            while todo:
+                n, gone = todo.pop()
+                if n.label == SLOT and not gone and data.get(id(n)):
+                    out.add(id(n))
+                todo += [(k, gone or self.out(k, False, loose)) for k in n.kids]
+        return out
 
-    def walk(n: Node) -> None:
-        if n.label != GROUP and _bad(n.label, False) and not (loose and not _bad(n.label, True) and _encloses(n)):
-            return
-        for kind in range(3):
-            if _holds(kind, n.label) and any(True for _ in slots(n)):
-                seen.add(kind)
-        for k in n.kids:
-            walk(k)
-
-    walk(node)
-    return min(seen, default=None)
-
-
-def found(node: Node) -> tuple[int | None, bool]:
-    """The container, and whether it is one that only elements with a bad word in a longer name (has-sidebar) enclose."""
-    kind = _container(node, False)
-    if kind in (0, 1):
-        return kind, False
-    wide = _container(node, True)
-    return (wide, True) if wide in (0, 1) else (kind, False)
-
-
-def container(node: Node) -> int | None:
-    """What marks the main text: 0 article, 1 main, 2 a content word, None."""
-    return found(node)[0]
-
-
-def chosen(tree: Node, kind: int | None, figures: bool = True, loose: bool | None = None) -> set[int]:
-    """The identities of the slots of a wrapper (or, without figures, of a page) that hold main text in pages whose
-    container is `kind`; loose as of found()."""
-    out = set()
-    loose = found(tree)[1] if loose is None else loose
-    # Where no slot differs between pages, they are copies, and sameness tells nothing.
-    copies = figures and not any(min(x[3] for x in s.texts) != max(x[4] for x in s.texts) for s in slots(tree) if s.texts)
-
-    def walk(n: Node, inside: bool) -> None:
-        if n.label == SLOT:
-            if inside or kind is None and (not figures or not n.texts or _varied(n.texts, copies)):
-                out.add(id(n))
-            return
-        if n.label != GROUP:
-            if _bad(n.label, inside) and not (loose and not _bad(n.label, True) and _encloses(n)):
-                return
-            inside = inside or kind is not None and _holds(kind, n.label)
-        for k in n.kids:
-            walk(k, inside)
+    def _kept(self, tree: Node, kind: int, loose: bool, data: dict[int, int], out: set[int]) -> bool:
+        """Puts the slots in containers of the kind into out; tells whether data is among them."""
+        todo = [(tree, False, False)]
+        while todo:
+            n, inside, doubt = todo.pop()
+            if n.label == SLOT:
+                if inside and not (doubt and not data.get(id(n))):
+                    out.add(id(n))
+            elif not self.out(n, inside, loose):
+                named = n.label != GROUP
+                doubt = doubt or inside and named and _doubtful(n.label)
+                inside = inside or named and _holds(kind, n.label)
+                todo += [(k, inside, doubt) for k in n.kids]
+        return any(data.get(x) for x in out)
 
-    walk(tree, False)
-    return out
+    def evident(self, only: set[int]) -> set[int]:
+        """The data slots of the region that the figures alone tell."""
+        data = self.data(only)
+        return {id(n) for n in below(self.region(data, True, False)) if n.label == SLOT and data.get(id(n))}
 
 
-def _varied(stats: list, copies: bool) -> bool:
-    pages, chars, link, low, high = (f(x) for f, x in zip((sum, sum, sum, min, max), zip(*stats, strict=True), strict=True))
-    return 2 * link < chars and (low != high or pages < 3 or copies)
+def container(tree: Node) -> int | None:
+    return View(tree).found()[0]
 
 
 def mask(wrapper: Node, page: Node) -> str:
     """One 0 or 1 for each slot of the page, by the wrapper slot that it is aligned with, under the page's own kind of
-    container; a slot that finds no partner is judged by its place in the page."""
-    kind, loose = found(page)
-    good, alone, met_slots, keep = chosen(wrapper, kind, loose=loose), chosen(page, kind, figures=False, loose=loose), set(), set()
+    container; a slot that finds no partner is judged by its place in the page. Then + if evident() says the same, or -."""
+    host, own = View(wrapper), slots(page)
+    kind, loose = View(page).found()
+    alone = View(page).chosen(kind, loose)
     # Slots are told apart by their texts, which meeting nodes carry along.
-    own = list(slots(page))
+    places = [id(s) in alone for s in own]
     for i, s in enumerate(own):
         s.texts = [[i]]
-    places = [id(s) in alone for s in own]
+    at: dict[int, set[int]] = {}
 
     def walk(a: list[Node], b: list[Node]) -> None:
         a, b = _grouped_alike(a, b)
-        for p, q in matches([k.label for k in a], [k.label for k in b]):
+        for p, q in partners(a, b):
             if b[q].label == SLOT:
-                met_slots.update(t[0] for t in b[q].texts)
-                if id(a[p]) in good:
-                    keep.update(t[0] for t in b[q].texts)
+                at.setdefault(id(a[p]), set()).update([t[0] for t in b[q].texts])
             walk(a[p].kids, b[q].kids)
 
     walk(wrapper.kids, page.kids)
-    return "".join("1" if i in keep or i not in met_slots and place else "0" for i, place in enumerate(places))
+    good, evident = host.chosen(kind, loose, set(at)), host.evident(set(at))
+    met_slots = {i for x in at.values() for i in x}
+    keep = {i for k in good for i in at.get(k, ())} | {i for i, place in enumerate(places) if place and i not in met_slots}
+    shown = {i for k in evident for i in at[k]}
+    return "".join("1" if i in keep else "0" for i in range(len(own))) + ("+" if keep == shown else "-")
 
 
 def skeleton(tree: Node) -> str:
-    def plain(n: Node) -> list:
-        return [n.label, n.flag, [plain(k) for k in n.kids]]
-
-    return json.dumps(plain(tree), separators=(",", ":"))
+    return plain(tree)
 
 
 def host(url: str | None) -> str:
@@ -436,39 +598,46 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")
 
 
-_SURVEY = "host string, skeleton string, slots array<struct<chars:long,link:long,h:long>>"
+_SURVEY = "host string, skeleton string, slots array<struct<pages:long,chars:long,link:long,low:long,high:long>>"
+
+
+def _read(raw: bytes | None) -> str:
+    return (raw or b"").decode("utf-8", "replace")
 
 
 def _surveyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, skeleton, and the slots' figures where nothing but figures can tell the main text."""
-    kind = pa.list_(pa.struct([("chars", pa.int64()), ("link", pa.int64()), ("h", pa.int64())]))
+    """host, skeleton and the figures of its slots, summed over the pages of a batch."""
+    names = ("pages", "chars", "link", "low", "high")
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
     for b in it:
-        hosts, shapes, figures = [], [], []
-        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            tree = parse(page or "")
-            hosts.append(host(url))
-            shapes.append(skeleton(tree))
-            figures.append([] if container(tree) is not None else [{"chars": sum(len(t) for _, t, _ in s.texts), "link": sum(x for _, _, x in s.texts), "h": _hash("\n".join(t for _, t, _ in s.texts))} for s in slots(tree)])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(figures, kind)], names=["host", "skeleton", "slots"])
+        seen: dict[tuple[str, str], list[list[int]]] = {}
+        for url, page in zip(b.column(0).cast(pa.binary()), b.column(1).cast(pa.binary()), strict=True):
+            tree = parse(_read(page.as_py()))
+            own = [(sum(len(t) for _, t, _ in s.texts), sum(x for _, _, x in s.texts), _hash("\n".join(t for _, t, _ in s.texts))) for s in slots(tree)]
+            figures = seen.setdefault((host(_read(url.as_py())), skeleton(tree)), [[0, 0, 0, 2**62, -1] for _ in own])
+            for f, (chars, link, h) in zip(figures, own, strict=True):
+                f[:] = f[0] + 1, f[1] + chars, f[2] + link, min(f[3], h), max(f[4], h)
+        rows = [[dict(zip(names, f, strict=True)) for f in figures] for figures in seen.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array(rows, kind)], names=["host", "skeleton", "slots"])
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     """The wrappers of a group as one, in a fixed order."""
-    trees = [Node.of(json.loads(w)) for w in sorted(pdf["wrapper"])]
+    trees = [tree_of(w) for w in sorted(pdf["wrapper"])]
     out = trees[0]
     for t in trees[1:]:
         out = met(out, t)
     for s in slots(out):
         if len(s.texts) > 1:
             s.texts = [[f(x) for f, x in zip((sum, sum, sum, min, max), zip(*s.texts, strict=True), strict=True)]]
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(out.plain(), separators=(",", ":"))]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [plain(out, True)]})
 
 
 def _with_figures(shape: str, figures: list | None) -> str:
-    tree = Node.of(json.loads(shape))
+    tree = tree_of(shape)
     for s, f in zip(slots(tree), [] if figures is None else figures, strict=False):
         s.texts = [[int(f["pages"]), int(f["chars"]), int(f["link"]), int(f["low"]), int(f["high"])]]
-    return json.dumps(tree.plain(), separators=(",", ":"))
+    return plain(tree, True)
 
 
 def inferred(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -497,7 +666,7 @@ def _shapes(pages: DataFrame) -> DataFrame:
     """Each (host, skeleton) once, with its slots' figures summed over its pages."""
     raw = pages.mapInArrow(_surveyed, _SURVEY)
     rows = raw.select("host", "skeleton", F.posexplode_outer("slots").alias("i", "s"))
-    by_slot = rows.groupBy("host", "skeleton", "i").agg(F.count(F.lit(1)).alias("pages"), F.sum("s.chars").alias("chars"), F.sum("s.link").alias("link"), F.min("s.h").alias("low"), F.max("s.h").alias("high"))
+    by_slot = rows.groupBy("host", "skeleton", "i").agg(*[F.sum(f"s.{c}").alias(c) for c in ("pages", "chars", "link")], F.min("s.low").alias("low"), F.max("s.high").alias("high"))
     found = F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "pages", "chars", "link", "low", "high"))))
     return by_slot.groupBy("host", "skeleton").agg(found.alias("figures"))
 
@@ -509,15 +678,15 @@ def masks(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
-            yield pd.DataFrame({"host": p["host"], "skeleton": p["skeleton"], "mask": [mask(Node.of(json.loads(w)), Node.of(json.loads(s))) for s, w in zip(p["skeleton"], p["wrapper"], strict=True)]})
+            yield pd.DataFrame({"host": p["host"], "skeleton": p["skeleton"], "mask": [mask(tree_of(w), tree_of(s)) for s, w in zip(p["skeleton"], p["wrapper"], strict=True)]})
 
     return checkpointed(both.mapInPandas(batches, "host string, skeleton string, mask string"))
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars."""
-    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).cast("string").alias("html"))
-    known = masks(own)
+    """One row per row of pages: page_id, url, text, n_chars, by_evidence."""
+    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).cast("string").alias("html"), F.col(url).cast("string").alias("__u"))
+    known = masks(own, "__u")
     # A slot's index in the mask is all that a text needs; hosts and skeletons are met by their hash.
     known = checkpointed(known.select(F.xxhash64("host").alias("kh"), F.xxhash64("skeleton").alias("ks"), F.sha2("skeleton", 256).alias("kd"), "mask"))
     schema = own.select("page_id", "url", F.lit("").alias("host"), F.lit("").alias("skeleton"), F.lit(None).cast("array<struct<i:int,t:string>>").alias("blocks")).schema
@@ -526,9 +695,9 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
         kind = pa.list_(pa.struct([("i", pa.int32()), ("t", pa.string())]))
         for b in it:
             hosts, shapes, blocks = [], [], []
-            for u, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tree = parse(p or "")
-                hosts.append(host(str(u) if u is not None else None))
+            for u, p in zip(b.column(3).cast(pa.binary()), b.column(2).cast(pa.binary()), strict=True):
+                tree = parse(_read(p.as_py()))
+                hosts.append(host(_read(u.as_py())))
                 shapes.append(skeleton(tree))
                 texts = sorted((order, i, t) for i, s in enumerate(slots(tree)) for order, t, _ in s.texts)
                 blocks.append([{"i": i, "t": t} for _, i, t in texts])
@@ -537,8 +706,8 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     read = own.mapInArrow(batches, schema).withColumns({"__h": F.xxhash64("host"), "__s": F.xxhash64("skeleton"), "__d": F.sha2("skeleton", 256)}).drop("host", "skeleton")
     got = joined(read, known, [("__h", "kh"), ("__s", "ks"), ("__d", "kd")])
     text = F.array_join(F.transform(F.filter("blocks", lambda x: F.substring(F.col("mask"), x["i"] + 1, F.lit(1)) == "1"), lambda x: x["t"]), "\n")
-    got = got.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
-    return got.withColumn("n_chars", F.length("text").cast("long"))
+    got = got.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"), F.coalesce(F.endswith("mask", F.lit("+")), F.lit(False)).alias("by_evidence"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_evidence")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
