@@ -1,15 +1,18 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Every document gets counts over its whole text. Each rate of them feeds a mergeable quantile sketch per language and
-source: a table of counts over log-linear integer buckets (64 to a power of two, so a quantile is off by under
-1.6 %). Sketches merge by adding counts, on the map side first, so a source that holds a third of all rows sends one
-row a bucket and task. A group of few documents uses the merged sketch of its language, and a small language that of
-the corpus. The far-out fence of a group, its quartiles widened by `spread` times their distance and by a slack,
-replaces a fixed cutoff; the fences are then joined to the documents.
-
-Defined results: null text counts as empty; a text without words has zero counts, fails the base rules and feeds no
-sketch; null language or source is a group of its own; repeated rows count each time and get the same verdict; an
-empty table gives an empty result; extra columns are ignored (verdicts) or passed on (keep), whatever their names.
+Every document gets counts over its whole text. Each rate of those that pass the base rules feeds a mergeable quantile
+sketch per language and source: a table of counts over log-linear integer buckets (256 to a power of two, so a
+quantile is off by under 0.4 %). Sketches merge by adding counts, on the map side first, so a source that holds a third of all rows sends one
+row a bucket and task. The quartiles and the 99 % quantile of a group are blended with those of its language, which are
+blended with those of the corpus: a group of n documents counts n times, what is above it PRIOR times. No constant
+stands for a rate. The fence of a group is its outer quartile and SPREAD times a scale: the distance of the quartiles,
+or, where they are equal (most documents have none of what is counted), half the way from there to the 99 % quantile.
+The fences are then joined to the documents. Windows of words are compared by 64-bit hashes.
+
+Defined results: null text counts as empty; a text without words has zero counts and fails the base rules; a group
+none of whose documents passes them has no fences; null language or source is a group of its own; repeated rows count
+each time and get the same verdict; an empty table gives an empty result; extra columns are ignored (verdicts) or
+passed on (keep), whatever their names.
 """
 
 from __future__ import annotations
@@ -18,28 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, joined, table
+from .common import checkpointed, col, joined, kept, quoted, table
 
 WINDOW = 8
-#: metric: (slack below the lower fence or None, slack above the upper fence); rates are per thousand.
-RULES = {
-    "r_symbols": (None, 100),
-    "r_dup_lines": (None, 450),
-    "r_repeat": (None, 300),
-    "r_upper": (None, 200),
-    "r_bangs": (None, 200),
-    "r_word_chars": (1500, 2500),
-}
-SPREAD = 3
-MIN_GROUP = 50
-
-_SPACE = "\\u0020\\t\\n\\u000b\\f\\r"
+#: Rates per thousand (of characters for r_upper and r_letters), and whether there is a lower fence.
+RULES = {"r_symbols": False, "r_dup_lines": False, "r_repeat": False, "r_upper": False, "r_letters": True, "r_word_chars": True}
+SPREAD, PRIOR = 5, 10
+BASE_FAILED = "__n_words < 20 or 100 * __n_repeat_words > 30 * __n_words"
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `__n_words`, `__word_chars`, `__n_symbols`, `__n_lines`, `__n_dup_lines`, `__n_repeat_words`,
-    `__n_upper` and `__n_bangs` appended (long)."""
-    df = docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    `__n_upper` and `__n_letters` appended (long)."""
+    df = docs.withColumn("__t", F.coalesce(col(text).cast("string"), F.lit("")))
     df = df.withColumn("__w", F.expr(r"array_remove(split(__t, '[ \\t-\\r]+'), '')"))
     df = df.withColumn("__l", F.expr(r"filter(split(__t, '\n'), l -> l rlike '[^ \\t-\\r]')"))
     df = df.withColumn("__hw", F.expr("transform(__w, w -> xxhash64(w))"))
@@ -56,7 +50,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     left = lambda chars: f"cast(char_length(__t) - char_length({chars}) as bigint)"
     return df.selectExpr(
-        *[f"`{c}`" for c in docs.columns],
+        *map(quoted, docs.columns),
         "cast(size(__w) as bigint) as __n_words",
         "cast(aggregate(__w, 0L, (a, w) -> a + char_length(w)) as bigint) as __word_chars",
         left("regexp_replace(__t, '[#*$%&|<>]', '')") + " as __n_symbols",
@@ -64,7 +58,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "cast(size(__l) - size(array_distinct(__l)) as bigint) as __n_dup_lines",
         f"coalesce(aggregate(__p, struct(0L as n, -{WINDOW} as z), (a, p) -> struct(a.n + least({WINDOW}, p - a.z) as n, p as z), a -> a.n), 0L) as __n_repeat_words",
         left("regexp_replace(__t, '[A-Z]', '')") + " as __n_upper",
-        left("replace(__t, '!', '')") + " as __n_bangs",
+        left(r"regexp_replace(__t, '\\p{L}', '')") + " as __n_letters",
     )
 
 
@@ -76,7 +70,7 @@ def _rates(df: DataFrame) -> DataFrame:
             "r_dup_lines": per("__n_dup_lines", "__n_lines"),
             "r_repeat": per("__n_repeat_words", "__n_words"),
             "r_upper": per("__n_upper", "__word_chars"),
-            "r_bangs": per("__n_bangs", "__n_words"),
+            "r_letters": per("__n_letters", "__word_chars"),
             "r_word_chars": per("__word_chars", "__n_words"),
         }
     )
@@ -85,43 +79,39 @@ def _rates(df: DataFrame) -> DataFrame:
 def sketch(rates: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, metric, bucket, n): the mergeable sketch; a bucket stands as its least value."""
     rows = rates.select(*keys, F.expr("stack({}, {}) as (metric, v)".format(len(RULES), ", ".join(f"'{m}', {m}" for m in RULES)))).where("v is not null")
-    rows = rows.withColumn("s", F.expr("greatest(0, length(bin(v)) - 7)")).withColumn("bucket", F.expr("shiftleft(shiftright(v, s), s)"))
+    rows = rows.withColumn("s", F.expr("greatest(0, length(bin(v)) - 9)")).withColumn("bucket", F.expr("shiftleft(shiftright(v, s), s)"))
     return rows.groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sk: DataFrame, keys: list[str], spread: int = SPREAD) -> DataFrame:
-    """One row a group: n documents, and lo and hi of every metric, from the quartiles of its sketch."""
+#: The quantiles of a sketch that fences are made of, as fractions.
+QUANTILES = {"q1": (1, 4), "q3": (3, 4), "tail": (99, 100)}
+
+
+def quantiles(sk: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, n, q1, q3, tail) of every sketch."""
     by = Window.partitionBy(*keys, "metric")
     run = sk.withColumn("c", F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.sum("n").over(by))
-    q = run.groupBy(*keys, "metric").agg(
-        F.max("t").alias("t"),
-        F.min(F.when(F.col("c") * 4 >= F.col("t"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("c") * 4 >= F.col("t") * 3, F.col("bucket"))).alias("q3"),
-    )
-    one = lambda m, e: F.max(F.when(F.col("metric") == m, F.expr(e)))
-    aggs = [F.max("t").alias("n")]
-    for m, (low, high) in RULES.items():
-        aggs.append(one(m, f"q1 - {spread} * (q3 - q1) - {low}" if low is not None else "cast(-1 as bigint)").alias(f"lo_{m}"))
-        aggs.append(one(m, f"q3 + {spread} * (q3 - q1) + {high}").alias(f"hi_{m}"))
-    return q.groupBy(*keys).agg(*aggs)
+    at = [F.min(F.when(F.col("c") * down >= F.col("t") * up, F.col("bucket"))).alias(q) for q, (up, down) in QUANTILES.items()]
+    return run.groupBy(*keys, "metric").agg(F.max("t").alias("n"), *at)
 
 
-def thresholds(rates: DataFrame, keys: tuple[str, str], spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, lo_*, hi_*): the fences of each group, or those merged above it where it is small."""
+def thresholds(rates: DataFrame, keys: tuple[str, str], spread: int = SPREAD, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, __own, __lo_*, __hi_*): the fences of each group, and the per cent that its own quantiles count."""
     lang, source = keys
-    own = checkpointed(sketch(rates.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *RULES), ["lang", "source"]))
-    merge = lambda k: own.groupBy(*k, "metric", "bucket").agg(F.sum("n").alias("n"))
-    names = [f"{e}_{m}" for m in RULES for e in ("lo", "hi")]
-    pack = lambda f, k, p: f.select(*k, F.col("n").alias(f"n{p}"), F.struct(*names).alias(f"f{p}"))
-    a = pack(fences(own, ["lang", "source"], spread), ["lang", "source"], "0")
-    b = pack(fences(merge(["lang"]), ["lang"], spread), [F.col("lang").alias("lang1")], "1")
-    c = pack(fences(merge([]), [], spread), [], "2")
-    got = a.join(b, F.col("lang").eqNullSafe(F.col("lang1"))).join(F.broadcast(c))  # c is a single row
-    f = F.when(F.col("n0") >= min_group, F.col("f0")).when(F.col("n1") >= min_group, F.col("f1")).otherwise(F.col("f2"))
-    return got.withColumn("f", f).select("lang", "source", *[F.col(f"f.{x}").alias(f"__{x}") for x in names])
-
-
-BASE_FAILED = "__n_words < 20 or 100 * __n_repeat_words > 30 * __n_words"
+    own = checkpointed(sketch(rates.where(f"not ({BASE_FAILED})").select(F.col(lang).alias("lang"), F.col(source).alias("source"), *RULES), ["lang", "source"]))
+    merged = lambda k, p: quantiles(own.groupBy(*k, "metric", "bucket").agg(F.sum("n").alias("n")), k).select(*[F.col(c).alias(f"{p}{c}") for c in [*k, "metric", "n", *QUANTILES]])
+    got = quantiles(own, ["lang", "source"])
+    got = joined(got, checkpointed(merged(["lang"], "l_")), [("lang", "l_lang"), ("metric", "l_metric")], "inner")
+    got = got.join(F.broadcast(merged([], "a_")), F.col("metric") == F.col("a_metric"))  # a row a metric
+    blend = lambda q: f"(n * {q} + {prior} * ((l_n * l_{q} + {prior} * a_{q}) div (l_n + {prior}))) div (n + {prior})"
+    got = got.selectExpr("lang", "source", "metric", "n", *[f"{blend(q)} as {q}" for q in QUANTILES])
+    wide = f"if(q3 > q1, {spread} * (q3 - q1), ({spread} * (tail - q3)) div 2)"
+    one = lambda m, e: F.max(F.when(F.col("metric") == m, F.expr(e)))
+    aggs = [F.max(F.expr(f"(100 * n) div (n + {prior})")).alias("__own")]
+    for m, two_sided in RULES.items():
+        aggs.append(one(m, f"q1 - {wide}" if two_sided else "cast(-1 as bigint)").alias(f"__lo_{m}"))
+        aggs.append(one(m, f"q3 + {wide}").alias(f"__hi_{m}"))
+    return got.groupBy("lang", "source").agg(*aggs)
 
 
 def verdicts(docs: DataFrame, text: str = "text", keys: tuple[str, str] = ("lang", "source"), spread: int = SPREAD, keep_columns: list[str] | None = None) -> DataFrame:
@@ -129,10 +119,10 @@ def verdicts(docs: DataFrame, text: str = "text", keys: tuple[str, str] = ("lang
 
     The counts are computed once and kept as a few numbers a row; the text moves nowhere."""
     cols = keep_columns if keep_columns is not None else docs.columns
-    own = docs.select(*[F.col(c).alias(f"__k_{c}") for c in cols], F.col(keys[0]).alias("__lang"), F.col(keys[1]).alias("__source"), F.col(text).alias("__text"))
+    own = docs.select(*[col(c).alias(f"__k_{c}") for c in cols], col(keys[0]).alias("__lang"), col(keys[1]).alias("__source"), col(text).alias("__text"))
     rates = _rates(checkpointed(counts(own, "__text").drop("__text")))
     got = _judged(rates, checkpointed(thresholds(rates, ("__lang", "__source"), spread)), ("__lang", "__source"))
-    return got.select(*[F.col(f"__k_{c}").alias(c) for c in cols], *[c for c in got.columns if c.startswith("__") and not c.startswith("__k_")])
+    return got.select(*[col(f"__k_{c}").alias(c) for c in cols], *[c for c in got.columns if c.startswith("__") and not c.startswith("__k_")])
 
 
 def _judged(rates: DataFrame, limits: DataFrame, keys: tuple[str, str]) -> DataFrame:
@@ -145,42 +135,34 @@ def _judged(rates: DataFrame, limits: DataFrame, keys: tuple[str, str]) -> DataF
 def keep(docs: DataFrame, text: str = "text", keys: tuple[str, str] = ("lang", "source"), spread: int = SPREAD) -> DataFrame:
     """docs without the rows that the rules reject, with the columns of docs.
 
-    The text is counted once for the sketches and once for the filter: two scans, and no shuffle of texts."""
-    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col(keys[0]).alias("__lang"), F.col(keys[1]).alias("__source"), F.col(text).alias("__text"))
-    limits = checkpointed(thresholds(_rates(counts(own.drop("__row"), "__text").drop("__text")), ("__lang", "__source"), spread))
-    got = counts(own, "__text").drop("__text")
-    # The counts go through a generator, past which the optimiser pushes no filter: they are computed once a row.
-    numbers = [c for c in got.columns if c not in own.columns]
-    got = got.select("__row", "__lang", "__source", F.explode(F.array(F.struct(*numbers))).alias("__c")).select("__row", "__lang", "__source", "__c.*")
-    return _judged(_rates(got), limits, ("__lang", "__source")).where("__kept").select("__row.*")
+    Every text is counted once: the rows and their counts are kept as a table in the shared folder, the sketches read
+    its counts only, and no text is shuffled."""
+    own = docs.select(*[col(c).alias(f"__k{i}") for i, c in enumerate(docs.columns)], col(keys[0]).alias("__lang"), col(keys[1]).alias("__source"), col(text).alias("__text"))
+    rates = _rates(kept(counts(own, "__text").drop("__text")))
+    limits = checkpointed(thresholds(rates, ("__lang", "__source"), spread))
+    return _judged(rates, limits, ("__lang", "__source")).where("__kept").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = verdicts(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return got.select("doc_id", *[F.col(f"__{c}").alias(c) for c in own])
+    return got.select("doc_id", *[F.col(f"__{c}").alias(c) for c in own], F.col("__own").alias("own_share"))
 
 
-def _fence_sql(level: str, keys: str) -> str:
+def _quantile_sql(name: str, keys: str) -> str:
     by = f"{keys}, metric" if keys else "metric"
-    lows = ", ".join(
-        f"max(case when metric = '{m}' then {f'q1 - {SPREAD} * (q3 - q1) - {low}' if low is not None else '-1'} end) as lo_{m},"
-        f" max(case when metric = '{m}' then q3 + {SPREAD} * (q3 - q1) + {high} end) as hi_{m}"
-        for m, (low, high) in RULES.items()
-    )
+    at = ", ".join(f"min(bucket) filter (c * {down} >= t * {up}) as {q}" for q, (up, down) in QUANTILES.items())
     return f"""
-  {level}_s as (select {by}, bucket, sum(n) as n from sk group by {by}, bucket),
-  {level}_c as (select *, sum(n) over (partition by {by} order by bucket) as c, sum(n) over (partition by {by}) as t from {level}_s),
-  {level}_q as (select {by}, max(t) as t, min(bucket) filter (c * 4 >= t) as q1, min(bucket) filter (c * 4 >= t * 3) as q3 from {level}_c group by {by}),
-  {level} as (select {keys + ',' if keys else ''} max(t) as n, {lows} from {level}_q {f'group by {keys}' if keys else ''})"""
+  {name}_s as (select {by}, bucket, sum(n)::bigint as n from sk group by {by}, bucket),
+  {name}_c as (select *, sum(n) over (partition by {by} order by bucket) as c, sum(n) over (partition by {by}) as t from {name}_s),
+  {name} as (select {by}, max(t)::bigint as n, {at} from {name}_c group by {by})"""
 
 
 def _sql() -> str:
-    fine = " and ".join(
-        f"({m} is null or {m} between case when g.n >= {MIN_GROUP} then g.lo_{m} when l.n >= {MIN_GROUP} then l.lo_{m} else a.lo_{m} end"
-        f" and case when g.n >= {MIN_GROUP} then g.hi_{m} when l.n >= {MIN_GROUP} then l.hi_{m} else a.hi_{m} end)"
-        for m in RULES
-    )
+    fine = " and ".join(f"({m} is null or {m} between lo_{m} and hi_{m})" for m in RULES)
+    blend = ", ".join(f"(g.n * g.{q} + {PRIOR} * ((l.n * l.{q} + {PRIOR} * a.{q}) // (l.n + {PRIOR}))) // (g.n + {PRIOR}) as {q}" for q in QUANTILES)
+    wide = f"case when q3 > q1 then {SPREAD} * (q3 - q1) else ({SPREAD} * (tail - q3)) // 2 end"
+    ends = ", ".join(f"max(case when metric = '{m}' then {f'q1 - {wide}' if two_sided else '-1'} end) as lo_{m}, max(case when metric = '{m}' then q3 + {wide} end) as hi_{m}" for m, two_sided in RULES.items())
     return rf"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
   w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
@@ -189,19 +171,20 @@ with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(te
   m as (select w.rid, doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(ls)::bigint as n_lines,
       (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
-      (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::bigint as n_upper, (length(t) - length(replace(t, '!', '')))::bigint as n_bangs
+      (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::bigint as n_upper, (length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')))::bigint as n_letters
     from w left join rep on rep.rid = w.rid),
   r as (select *, case when n_words > 0 then 1000 * n_symbols // n_words end as r_symbols, case when n_lines > 0 then 1000 * n_dup_lines // n_lines end as r_dup_lines,
       case when n_words > 0 then 1000 * n_repeat_words // n_words end as r_repeat, case when word_chars > 0 then 1000 * n_upper // word_chars end as r_upper,
-      case when n_words > 0 then 1000 * n_bangs // n_words end as r_bangs, case when n_words > 0 then 1000 * word_chars // n_words end as r_word_chars from m),
-  v as ({' union all '.join(f"select lang, source, '{m}' as metric, {m} as v from r where {m} is not null" for m in RULES)}),
-  b as (select lang, source, metric, v, greatest(0, length(ltrim(bin(v), '0')) - 7) as s from v),
+      case when word_chars > 0 then 1000 * n_letters // word_chars end as r_letters, case when n_words > 0 then 1000 * word_chars // n_words end as r_word_chars from m),
+  v as ({' union all '.join(f"select lang, source, '{m}' as metric, {m} as v from r where {m} is not null and not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)" for m in RULES)}),
+  b as (select lang, source, metric, v, greatest(0, length(ltrim(bin(v), '0')) - 9) as s from v),
   sk as (select lang, source, metric, (v >> s) << s as bucket, count(*) as n from b group by all),
-{_fence_sql('fg', 'lang, source')}, {_fence_sql('fl', 'lang')}, {_fence_sql('fa', '')}
+{_quantile_sql('qg', 'lang, source')}, {_quantile_sql('ql', 'lang')}, {_quantile_sql('qa', '')},
+  q as (select g.lang, g.source, g.metric, g.n, {blend} from qg g join ql l on l.lang is not distinct from g.lang and l.metric = g.metric join qa a on a.metric = g.metric),
+  f as (select lang, source, max(100 * n // (n + {PRIOR}))::bigint as own, {ends} from q group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
-  (not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)) and coalesce({fine}, true) as kept
-from r left join fg g on g.lang is not distinct from r.lang and g.source is not distinct from r.source
-  left join fl l on l.lang is not distinct from r.lang cross join fa a"""
+  (not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)) and coalesce({fine}, true) as kept, own as own_share
+from r left join f on f.lang is not distinct from r.lang and f.source is not distinct from r.source"""
 
 
 SQL = _sql()

@@ -35,6 +35,23 @@ def test_fences_follow_the_group(spark):
     assert all(got.values())
 
 
+def test_no_rate_has_a_fixed_cutoff(spark):
+    """Two sources that differ in every rate have different fences for every rate."""
+    line = lambda i, w: f"{w} {prose(i, 11)}"
+    plain = [row(i, "\n".join(line(9 * i + k, "w") for k in range(6)), "en", "plain") for i in range(150)]
+    odd = [row(500 + i, "\n".join(line(9000 + 9 * i + k, "SHOUT #1 42") for k in range(6)) + f"\n{prose(7 + i % 5, 9)}" * 2 + " abcdefghijklmnopqrstuvwxyz" * (i % 7), "en", "odd") for i in range(150)]
+    got = quality.thresholds(quality._rates(quality.checkpointed(quality.counts(spark.createDataFrame(plain + odd, SCHEMA)))), ("lang", "source")).collect()
+    a, b = (next(r for r in got if r.source == s) for s in ("plain", "odd"))
+    for m in quality.RULES:
+        assert a[f"__hi_{m}"] != b[f"__hi_{m}"], m
+    assert a["__own"] == b["__own"] == 93
+
+
+def test_names_with_dots(spark):
+    own = spark.createDataFrame([row(i, prose(i, 60)) for i in range(5)], SCHEMA).withColumnsRenamed({"n": "x.y", "h": "a`b"})
+    assert quality.keep(own).columns == own.columns and quality.keep(own).count() == 5
+
+
 def test_keep_gives_the_same_rows(spark, docs):
     want = quality.verdicts(docs).where("__kept").select(docs.columns)
     got = quality.keep(docs)
