@@ -3,10 +3,10 @@
 Every document gets counts over its whole text. Each rate of those that pass the base rules feeds a mergeable quantile
 sketch per language and source: a table of counts over log-linear integer buckets (256 to a power of two, so a
 quantile is off by under 0.4 %). Sketches merge by adding counts, on the map side first, so a source that holds a third of all rows sends one
-row a bucket and task. The quartiles and the 99 % quantile of a group are blended with those of its language, which are
-blended with those of the corpus: a group of n documents counts n times, what is above it PRIOR times. No constant
-stands for a rate. The fence of a group is its outer quartile and SPREAD times a scale: the distance of the quartiles,
-or, where they are equal (most documents have none of what is counted), half the way from there to the 99 % quantile.
+row a bucket and task. The quartiles and the 1 % and 99 % quantiles of a group are blended with those of its language,
+which are blended with those of the corpus: a group of n documents counts n times, what is above it PRIOR times. No
+constant stands for a rate. A fence is an outer quartile and SPREAD times a scale: the distance of the quartiles, or,
+where they are equal (most documents have none of what is counted), half the way to the 1 % or 99 % quantile.
 The fences are then joined to the documents. Windows of words are compared by 64-bit hashes.
 
 Defined results: null text counts as empty; a text without words has zero counts and fails the base rules; a group
@@ -84,11 +84,11 @@ def sketch(rates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: The quantiles of a sketch that fences are made of, as fractions.
-QUANTILES = {"q1": (1, 4), "q3": (3, 4), "tail": (99, 100)}
+QUANTILES = {"head": (1, 100), "q1": (1, 4), "q3": (3, 4), "tail": (99, 100)}
 
 
 def quantiles(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, n, q1, q3, tail) of every sketch."""
+    """(keys, metric, n, head, q1, q3, tail) of every sketch."""
     by = Window.partitionBy(*keys, "metric")
     run = sk.withColumn("c", F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.sum("n").over(by))
     at = [F.min(F.when(F.col("c") * down >= F.col("t") * up, F.col("bucket"))).alias(q) for q, (up, down) in QUANTILES.items()]
@@ -105,12 +105,12 @@ def thresholds(rates: DataFrame, keys: tuple[str, str], spread: int = SPREAD, pr
     got = got.join(F.broadcast(merged([], "a_")), F.col("metric") == F.col("a_metric"))  # a row a metric
     blend = lambda q: f"(n * {q} + {prior} * ((l_n * l_{q} + {prior} * a_{q}) div (l_n + {prior}))) div (n + {prior})"
     got = got.selectExpr("lang", "source", "metric", "n", *[f"{blend(q)} as {q}" for q in QUANTILES])
-    wide = f"if(q3 > q1, {spread} * (q3 - q1), ({spread} * (tail - q3)) div 2)"
+    wide = lambda rest: f"if(q3 > q1, {spread} * (q3 - q1), ({spread} * ({rest})) div 2)"
     one = lambda m, e: F.max(F.when(F.col("metric") == m, F.expr(e)))
     aggs = [F.max(F.expr(f"(100 * n) div (n + {prior})")).alias("__own")]
     for m, two_sided in RULES.items():
-        aggs.append(one(m, f"q1 - {wide}" if two_sided else "cast(-1 as bigint)").alias(f"__lo_{m}"))
-        aggs.append(one(m, f"q3 + {wide}").alias(f"__hi_{m}"))
+        aggs.append(one(m, f"q1 - {wide('q1 - head')}" if two_sided else "cast(-1 as bigint)").alias(f"__lo_{m}"))
+        aggs.append(one(m, f"q3 + {wide('tail - q3')}").alias(f"__hi_{m}"))
     return got.groupBy("lang", "source").agg(*aggs)
 
 
@@ -161,8 +161,8 @@ def _quantile_sql(name: str, keys: str) -> str:
 def _sql() -> str:
     fine = " and ".join(f"({m} is null or {m} between lo_{m} and hi_{m})" for m in RULES)
     blend = ", ".join(f"(g.n * g.{q} + {PRIOR} * ((l.n * l.{q} + {PRIOR} * a.{q}) // (l.n + {PRIOR}))) // (g.n + {PRIOR}) as {q}" for q in QUANTILES)
-    wide = f"case when q3 > q1 then {SPREAD} * (q3 - q1) else ({SPREAD} * (tail - q3)) // 2 end"
-    ends = ", ".join(f"max(case when metric = '{m}' then {f'q1 - {wide}' if two_sided else '-1'} end) as lo_{m}, max(case when metric = '{m}' then q3 + {wide} end) as hi_{m}" for m, two_sided in RULES.items())
+    wide = lambda rest: f"case when q3 > q1 then {SPREAD} * (q3 - q1) else ({SPREAD} * ({rest})) // 2 end"
+    ends = ", ".join(f"max(case when metric = '{m}' then {'q1 - ' + wide('q1 - head') if two_sided else '-1'} end) as lo_{m}, max(case when metric = '{m}' then q3 + {wide('tail - q3')} end) as hi_{m}" for m, two_sided in RULES.items())
     return rf"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
   w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
