@@ -2,15 +2,17 @@
 
 Words of the test items get exact codes, so a window of codes is the window itself. A document's words are coded by
 the same vocabulary in one pass; windows of known words whose rolling hash is in the sorted table of gram hashes are
-verified against the grams. The broadcast holds the grams of one block of items: the items' bytes are summed first
-and dealt into blocks of at most BLOCK_BYTES, and the documents pass through one scan a block, without a shuffle.
+verified against the grams. The driver builds the table of a block of items once, as arrays of some 25 bytes a word
+beside the vocabulary, and broadcasts it; workers unpack it once, not once a task. The items' bytes are summed first
+and dealt into blocks of at most BLOCK_BYTES; the documents pass through one scan a block, without a shuffle.
 
 A document's result: its words, the merged word intervals under any occurring window, and the ids of items with
 occurring windows. Documents may be dropped by the contamination rule, or the hit spans cut out.
 
 Defined results: null text counts as empty and is never contaminated; an item without words never occurs; items with
 the same id count once, a null id counts as the empty string; repeated documents each get their row; empty tables on
-either side give no hits; all columns of docs, whatever their names, are passed on.
+either side give no hits; bytes that are no UTF-8 are characters of words; all columns of docs, whatever their names,
+are passed on.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import col, quoted, table
 
 WINDOW = 13
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: Rows are scanned so many words at a time.
 CHUNK_WORDS = 500_000
 #: A-Z to lower case, every other ASCII character that is no letter or digit to a space; other bytes stay.
@@ -39,35 +41,73 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORDS).split()
 
 
+class Table:
+    """The distinct grams of n codes, sorted by hash: where each stands in the codes, and the items that hold it."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, item: np.ndarray, n: int):
+        h = rolling(codes, n)[starts]
+        order = np.argsort(h, kind="stable")
+        h, starts, item = h[order], starts[order], item[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        same = np.nonzero(~new)[0]
+        for at in range(0, len(same), CHUNK_WORDS):  # of one hash, and yet another gram: both stay
+            k = same[at : at + CHUNK_WORDS]
+            new[k] = np.any([codes[starts[k] + j] != codes[starts[k - 1] + j] for j in range(n)], axis=0)
+        first = np.nonzero(new)[0]
+        pairs = np.unique(np.stack([np.cumsum(new) - 1, item], 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
+        self.n, self.hashes, self.starts = n, h[first], starts[first]
+        self.items, self.ends = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(first)), "right")
+
+    def found(self, own: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, gram) of the windows of `own` at `at` that are grams."""
+        h = rolling(own, self.n)[at]
+        low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
+        out = [np.zeros((2, 0), np.int64)]
+        for step in range(int((high - low).max(initial=0))):
+            k = np.nonzero(low + step < high)[0]
+            gram, place = low[k] + step, at[k]
+            fine = np.ones(len(k), bool)
+            for j in range(self.n):
+                fine &= own[place + j] == codes[self.starts[gram] + j]
+            out.append(np.stack([place[fine], gram[fine]]))
+        return tuple(np.concatenate(out, axis=1))
+
+    def holders(self, gram: int) -> np.ndarray:
+        return self.items[self.ends[gram - 1] if gram else 0 : self.ends[gram]]
+
+
 class Grams:
     """The grams of a block of items by length, over codes of the block's own vocabulary (0: any other word)."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.tables: dict[int, dict[bytes, set[str]]] = {}
+        self.names = sorted({name for name, _ in items})
+        index = {x: i for i, x in enumerate(self.names)}
+        parts, places, size = [], {}, 0
         for name, text in items:
-            w = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)], np.int64)
+            w = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)], np.int32)
             n = min(window, len(w))
-            for i in range(len(w) - n + 1) if n else ():
-                self.tables.setdefault(n, {}).setdefault(w[i : i + n].tobytes(), set()).add(name)
-        self.hashes = {n: np.unique(rolling(np.frombuffer(b"".join(t), np.int64), n)[::n]) for n, t in self.tables.items()}
-
-    def hits(self, codes: np.ndarray) -> list[tuple[int, int, set[str]]]:
-        """(start, end, items) of the occurring windows."""
+            if n:
+                places.setdefault(n, []).append((size, len(w) - n + 1, index[name]))
+            parts.append(w)
+            size += len(w)
+        self.codes = np.concatenate([np.zeros(0, np.int32), *parts])
+        self.tables = []
+        for n, runs in sorted(places.items()):
+            starts = np.concatenate([np.arange(s, s + k) for s, k, _ in runs])
+            self.tables.append(Table(self.codes, starts, np.repeat([i for *_, i in runs], [k for _, k, _ in runs]), n))
+
+    def hits(self, codes: np.ndarray) -> list[tuple[int, int, Table, int]]:
+        """(start, end, table, gram) of the occurring windows."""
         found = []
         known = np.concatenate([[0], np.cumsum(codes != 0)])
-        for n, grams in self.tables.items():
-            if len(codes) < n:
-                continue
-            at = np.nonzero(known[n:] - known[:-n] == n)[0]
-            if not len(at):
+        for t in self.tables:
+            if len(codes) < t.n:
                 continue
-            h = rolling(codes, n)[at]
-            t = self.hashes[n]
-            at = at[t[np.minimum(np.searchsorted(t, h), len(t) - 1)] == h]
-            for i in at.tolist():
-                if names := grams.get(codes[i : i + n].tobytes()):
-                    found.append((i, i + n, names))
+            at = np.nonzero(known[t.n :] - known[: -t.n] == t.n)[0]
+            if len(at):
+                found += [(i, i + t.n, t, g) for i, g in zip(*(x.tolist() for x in t.found(codes, self.codes, at)), strict=True)]
         return found
 
 
@@ -98,16 +138,16 @@ def scan(texts: list[bytes | None], grams: Grams) -> Iterator[tuple[int, list[tu
     get, codes, ends = grams.vocabulary.get, [], []
 
     def flush() -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-        array = np.array(codes, np.int64)
+        array = np.array(codes, np.int32)
         hits = sorted(grams.hits(array), key=lambda h: h[0])
         start = k = 0
         for end in ends:  # each text ends with a code 0, which no window crosses
-            spans, items = [], set()
+            spans, held = [], set()
             while k < len(hits) and hits[k][0] < end:
                 spans.append((hits[k][0] - start, hits[k][1] - start))
-                items |= hits[k][2]
+                held.add(hits[k][2:])
                 k += 1
-            yield end - start, merged(spans), items
+            yield end - start, merged(spans), {grams.names[i] for t, g in held for i in t.holders(g).tolist()}
             start = end + 1
         codes.clear()
         ends.clear()
@@ -134,14 +174,14 @@ def blocks(items: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES)
 def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES, texts: bool = True) -> DataFrame:
     """`__row` (a struct of the other columns of docs), `__text` (if asked for), and `__hits`: struct of n_words,
     spans (word intervals) and items."""
-    rest = [F.col(c) for c in docs.columns if c != text] or [F.lit(True).alias("none")]
-    got = docs.select(F.struct(*rest).alias("__row"), F.col(text).cast("string").alias("__text"), F.lit(None).cast(_STATE).alias("__hits"))
+    rest = [col(c) for c in docs.columns if c != text] or [F.lit(True).alias("none")]
+    got = docs.select(F.struct(*rest).alias("__row"), col(text).cast("string").alias("__text"), F.lit(None).cast(_STATE).alias("__hits"))
     for last, block in blocks(items, item_id, item_text, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(Grams(block, window))
         names = ["__row", "__text", "__hits"] if texts or not last else ["__row", "__hits"]
 
         def batches(it: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
-            grams = Grams(shared.value, window)
+            grams = shared.value
             for b in it:
                 out = []
                 own = [t.as_py() for t in b.column(1).cast(pa.binary())]
@@ -180,7 +220,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", remove
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
     got = marked(docs, items, text, **kw)
-    back = [F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    back = [F.col("__text").alias(c) if c == text else F.col(f"__row.{quoted(c)}").alias(c) for c in docs.columns]
     if remove == "documents":
         return got.where(~contaminated()).select(*back)
 

@@ -55,3 +55,19 @@ def test_empty(none, docs, items):
     assert d.marked(none, items[1]).count() == 0
     assert d.decontaminated(docs, items[1].limit(0)).count() == docs.count()
     assert d.decontaminated(docs, items[1]).columns == docs.columns
+
+
+def test_table_is_compact_and_shared(spark):
+    import pickle
+
+    text = prose(90, 40_000)
+    grams = d.Grams([("a", text.encode()), ("b", text.encode())])
+    assert len(pickle.dumps(grams)) < 20 * len(text)
+    (n, spans, items), = d.scan([("x " + text).encode()], grams)
+    assert (n, spans, items) == (40_001, [(1, 40_001)], {"a", "b"})
+
+
+def test_names_with_dots(spark, items):
+    docs = spark.createDataFrame([row(1, prose(51, 13)), row(2, "fine")], SCHEMA).withColumnRenamed("n", "x.y")
+    got = d.decontaminated(docs, items[1])
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [2]
