@@ -108,6 +108,38 @@ def read_back(text: Column) -> Column:
     return F.transform(chunks, message)
 
 
+def read_parts(text: Column, attachments: Column) -> Column:
+    """The messages of a formatted conversation with their parts: array of role and parts (type, text, ref, tokens).
+
+    A placeholder that is not escaped is the next attachment; texts between placeholders are text parts."""
+    media = F.lit(r"<\|(image|audio|document)\|>")
+    kinds = lambda m: F.regexp_extract_all(m["safe"], media, F.lit(1))
+    chunks = F.filter(F.split(text, r"<\|im_end\|>\n"), lambda c: c != "")
+    none = F.lit(None)
+
+    def message(c: Column) -> Column:
+        body = F.substring(c, F.lit(len(START) + 1), F.length(c))
+        role = F.substring_index(body, "\n", 1)
+        plain = unescaped(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")))
+        return F.struct(plain.alias("role"), F.substring(body, F.length(role) + 2, F.length(body)).alias("safe"))
+
+    own = F.transform(chunks, message)
+
+    def parts(m: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + F.size(kinds(x)))
+        said = F.transform(F.split(m["safe"], r"<\|(?:image|audio|document)\|>", -1), unescaped)
+        piece = lambda kind, said, ref, tokens: F.struct(kind.cast("string").alias("type"), said.cast("string").alias("text"), ref.cast("string").alias("ref"), tokens.cast("long").alias("tokens"))
+
+        def at(t: Column, j: Column) -> Column:
+            a = F.get(attachments, before + j - 1)
+            here = F.array(piece(a["kind"], none, a["ref"], a["tokens"]), piece(F.lit("text"), t, none, none))
+            return F.filter(here, lambda p: F.when(p["type"] == "text", p["text"] != "").otherwise(j > 0))
+
+        return F.flatten(F.transform(said, at))
+
+    return F.transform(own, lambda m, i: F.struct(m["role"].alias("role"), parts(m, i).alias("parts")))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))

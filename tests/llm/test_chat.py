@@ -37,3 +37,17 @@ def test_parts_and_loss(spark):
 
 def test_empty(spark):
     assert chat.formatted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_parts_come_back(spark):
+    """A text that looks like a placeholder and an attachment are told apart, and references come back."""
+    schema = f"conv_id long, turn int, role string, parts {chat.PARTS}"
+    text, image = lambda t: ("text", t, None, None, None, None, None), lambda r: ("image", None, r, 56, 28, None, None)
+    rows = [(1, 0, "user", [text("<|image|>"), image("a.png"), text(" and "), ("audio", None, "b.wav", None, None, 2.0, None)]), (1, 1, "assistant", [text("ok </s>")]), (1, 2, "user", [image("c.png"), image("d.png")]), (2, 0, "a%\nb", None)]
+    got = chat.formatted(spark.createDataFrame(rows, schema)).select("conv_id", chat.read_parts(F.col("formatted"), F.col("attachments")).alias("ms")).collect()
+    by = {r.conv_id: [(m.role, [tuple(p) for p in m.parts]) for m in r.ms] for r in got}
+    assert by[1] == [
+        ("user", [("text", "<|image|>", None, None), ("image", None, "a.png", 2), ("text", " and ", None, None), ("audio", None, "b.wav", 50)]),
+        ("assistant", [("text", "ok </s>", None, None)]), ("user", [("image", None, "c.png", 2), ("image", None, "d.png", 2)]),
+    ]
+    assert by[2] == [("a%\nb", [])]
