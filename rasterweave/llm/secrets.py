@@ -2,8 +2,9 @@
 
 Each text is scanned once. A value (the assigned string, the key, the digits) is known to the corpus step by its hash
 only. Hashes are counted by distinct repositories and owners, duplicates removed first and counts combined before each
-shuffle: a value that EXAMPLE_OWNERS owners or more hold is a widely copied example, a value with few distinct
-characters or with a placeholder word is a placeholder, and the rest are live-looking credentials of their owners.
+shuffle: a value that EXAMPLE_OWNERS owners or EXAMPLE_REPOS repositories or more hold is a widely copied example, a
+value with few distinct characters or with a placeholder word is a placeholder, and the rest are live-looking
+credentials of their owners.
 
 Base kinds are assign, access and hex. Further kinds have formats of their own: pem (private key blocks), jwt, github,
 slack and google keys.
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined, table
+from .common import checkpointed, col, joined, quoted, table
 
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 100
 #: Fixed patterns of the base kinds, with the least length of the value.
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
@@ -33,7 +34,7 @@ BASE = {
     "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
 }
 MORE = {
-    "pem": (re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0, 64),
+    "pem": (re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]|-[^-])*-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0, 64),
     "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 30),
     "github": (re.compile(r"gh[opsu]_[A-Za-z0-9]+"), 0, 40),
     "slack": (re.compile(r"xox[abps]-[A-Za-z0-9-]+"), 0, 20),
@@ -104,9 +105,10 @@ def ownership(found: DataFrame, repo: str, owner: str, examples: int = EXAMPLE_O
     """(h, n_repos, n_owners, verdict) of every value in found (columns repo, owner, __found)."""
     each = found.select(F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.explode("__found").alias("x"))
     each = each.select("x.h", "x.p", "owner", "repo").distinct()
-    by_owner = each.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
-    got = by_owner.groupBy("h").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.max("p").alias("p"))
-    verdict = F.when(F.col("n_owners") >= examples, "example").when(F.col("p"), "placeholder").otherwise("live")
+    # A row each distinct owner and each distinct repository of a value; a repository under two owners is one.
+    sides = lambda c: each.groupBy("h", c).agg(F.max("p").alias("p")).select("h", "p", *[F.lit(int(c == x)).alias(f"n_{x}s") for x in ("repo", "owner")])
+    got = sides("repo").union(sides("owner")).groupBy("h").agg(F.sum("n_repos").alias("n_repos"), F.sum("n_owners").alias("n_owners"), F.max("p").alias("p"))
+    verdict = F.when((F.col("n_owners") >= examples) | (F.col("n_repos") >= EXAMPLE_REPOS), "example").when(F.col("p"), "placeholder").otherwise("live")
     return got.select("h", "n_repos", "n_owners", verdict.alias("verdict"))
 
 
@@ -127,13 +129,13 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     """docs with the value of every live-looking credential replaced by <kind>, and n_chars counted anew.
 
     Values cross the corpus as hashes; a document with live values is met by its id and text hash."""
-    key = lambda df: (df[doc_id].cast("string").alias("__id"), F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))).alias("__h"))
-    own = docs.select(*key(docs), F.col(repo or doc_id).alias("__repo"), F.col(owner).alias("__owner"), F.col(text).cast("string").alias("__text"))
+    key = lambda df: (col(doc_id).cast("string").alias("__id"), F.xxhash64(F.coalesce(col(text).cast("string"), F.lit(""))).alias("__h"))
+    own = docs.select(*key(docs), col(repo or doc_id).alias("__repo"), col(owner).alias("__owner"), col(text).cast("string").alias("__text"))
     own = checkpointed(scanned(own).where(F.size("__found") > 0))
     known = ownership(own, "__repo", "__owner", examples).where("verdict = 'live'").select(F.col("h").alias("kh"))
     each = own.select("__id", "__h", F.explode("__found.h").alias("h")).distinct()
     live = joined(each, checkpointed(known), [("h", "kh")], "inner").groupBy("__id", "__h").agg(F.collect_set("h").alias("__live"))
-    rows = docs.select(*key(docs), F.struct(*[c for c in docs.columns if c != text] or [F.lit(True).alias("none")]).alias("__row"), F.col(text).cast("string").alias("__text"))
+    rows = docs.select(*key(docs), F.struct(*[col(c) for c in docs.columns if c != text] or [F.lit(True).alias("none")]).alias("__row"), col(text).cast("string").alias("__text"))
     rows = joined(rows, checkpointed(live), [("__id", "__id"), ("__h", "__h")]).select("__row", "__text", "__live")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +146,9 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     got = rows.where("__live is not null").mapInArrow(batches, rows.select("__row", "__text").schema).withColumn("__new", F.lit(True))
     got = got.union(rows.where("__live is null").select("__row", "__text", F.lit(False)))
     kind = docs.schema[n_chars].dataType if n_chars in docs.columns else None
-    col = lambda c: F.when(F.col("__new"), F.length("__text").cast(kind)).otherwise(F.col(f"__row.`{c}`")) if c == n_chars else F.col(f"__row.`{c}`")
-    return got.select(*[(F.col("__text") if c == text else col(c)).alias(c) for c in docs.columns])
+    old = lambda c: F.col(f"__row.{quoted(c)}")
+    back = lambda c: F.when(F.col("__new"), F.length("__text").cast(kind)).otherwise(old(c)) if c == n_chars else old(c)
+    return got.select(*[(F.col("__text") if c == text else back(c)).alias(c) for c in docs.columns])
 
 
 def redact(raw: bytes, live: set[str]) -> bytes:
