@@ -10,7 +10,8 @@ The vocabulary file is a parameter. The driver reads it and sends its bytes to t
 
 Defined results: null and empty texts have one empty section of no tokens; sections may be empty; tokens whose
 deciding byte is in no section count for section -1, which is given only if it has tokens; repeated rows each get their
-rows; an empty table gives an empty result; other columns of docs, whatever their names, are ignored.
+rows; bytes that are no UTF-8 are read as U+FFFD; an empty table gives an empty result; other columns of docs, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ def encoder(ranks: bytes, pattern: str = PATTERN) -> tuple[Callable[[str], list[
     return coding.encode_ordinary, lengths
 
 
+def read(raw: bytes | None) -> str:
+    return (raw or b"").decode("utf-8", "replace")
+
+
 def shipped(spark: SparkSession, path: str = VOCABULARY):
     """The vocabulary file as a broadcast."""
     with open(path, "rb") as f:
@@ -57,7 +62,7 @@ def counted(docs: DataFrame, text: str, out: str, vocabulary: str = VOCABULARY)
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = encoder(ranks.value)
         for b in it:
-            n = pa.array([len(encode(t)) if t else 0 for t in b.column(text).to_pylist()], pa.int64())
+            n = pa.array([len(encode(read(t.as_py()))) for t in b.column(text).cast(pa.binary())], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [n], names=[*rest, out])
 
     return docs.mapInArrow(batches, docs.select(*rest).schema.add(out, "long"))
@@ -110,17 +115,19 @@ def attributed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sect
             parts: list[np.ndarray] = []
             rows: list[np.ndarray] = []
             spans = b.column(2).to_pylist() if sections else [None] * b.num_rows
-            for k, (t, given) in enumerate(zip(b.column(1).to_pylist(), spans, strict=True)):
-                raw = (t or "").encode()
-                chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # code points up to each byte
+            for k, (given_raw, given) in enumerate(zip(b.column(1).cast(pa.binary()), spans, strict=True)):
+                t = read(given_raw.as_py())
+                raw = t.encode()
+                wide = len(t) < len(raw)  # else a byte is a code point
+                chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int32) if wide else None
                 if given is None and not sections:
                     starts, stops = lines(raw)
                 else:
-                    heads = np.append(np.nonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[0], len(raw))
+                    heads = np.append(np.nonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[0], len(raw)) if wide else np.arange(len(raw) + 1)
                     at = np.array([(x["start"], x["stop"]) for x in given or []], np.int64).reshape(-1, 2).clip(0, len(heads) - 1)
                     starts, stops = heads[at[:, 0]], heads[at[:, 1]]
                 n, crossing, none = allocate(np.cumsum(lengths[encode(t)]) if t else np.zeros(0, np.int64), starts, stops, rule)
-                before = lambda x: np.where(x > 0, chars[np.minimum(x, len(raw)) - 1], 0) if len(raw) else x * 0
+                before = lambda x: np.where(x > 0, chars[np.minimum(x, len(raw)) - 1], 0) if wide else x
                 got = np.stack([np.arange(len(starts)), before(starts), before(stops), n, crossing], 1)
                 if none:
                     got = np.concatenate([got, [[-1, 0, 0, none, 0]]])

@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 
 from rasterweave.llm import packing, tokens
 
+from .conftest import prose
+
 
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(0, 60), st.integers(1, 9), min_size=1, max_size=9), st.integers(1, 4))
@@ -73,3 +75,30 @@ def test_attribution_of_none(none):
     assert tokens.attributed(none).count() == 0
     with pytest.raises(ValueError):
         tokens.attributed(none, rule="last")
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("select 1L as doc_id, cast(X'61FF62' as string) as text")
+    assert packing.pack(df).first().n_tokens > 0
+    assert tokens.attributed(df).first().n_tokens > 0
+
+
+def test_repeated_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 10)
+    df = spark.createDataFrame([(None, "same words here")] * 500, "doc_id long, text string")
+    got = packing.pack(df, budget=64)
+    per = 64 // got.first().bucket_length
+    sizes = sorted(r["count"] for r in got.groupBy("batch").count().collect())
+    assert sum(sizes) == 500 and set(sizes[1:]) == {per}
+
+
+def test_tokens_come_out(spark):
+    texts = {i: prose(i, 40 * i) for i in range(1, 8)} | {9: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = packing.tokenised(packing.pack(df, longest=50), df, longest=50).collect()
+    with open(tokens.VOCABULARY, "rb") as f:
+        encode, _ = tokens.encoder(f.read())
+    for i, t in texts.items():
+        own = sorted((r.segment, r.tokens) for r in got if r.doc_id == i)
+        assert [x for _, part in own for x in part] == encode(t) and all(len(part) <= 50 for _, part in own)
+    assert all(len(r.tokens) == r.n_tokens for r in got)
