@@ -46,6 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a checkpointed table that nothing reads any more."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and (at := plan.rdd().getCheckpointFile()).isDefined():
+        remove(df.sparkSession, at.get())
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder's name in the shared folder."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined, table
+from .common import checkpointed, col, joined, quoted, table
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -267,8 +267,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     Components are those of near_duplicates(), or with wide=True those of near_copies(), which has no distance.
     Only ids, fingerprints and hashes are grouped. The rows to drop are joined to the texts by (id, text hash); up to
     a checked number they are broadcast and the texts do not move."""
-    key = lambda df: (df[doc_id].alias("__id"), F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))).alias("__h"))
-    own = docs.select(*key(docs), F.col(text).cast("string").alias("__text"))
+    key = lambda df: (col(doc_id).alias("__id"), F.xxhash64(F.coalesce(col(text).cast("string"), F.lit(""))).alias("__h"))
+    own = docs.select(*key(docs), col(text).cast("string").alias("__text"))
     texts = own
     own = checkpointed(wide_rows(own, "__text", size) if wide else fingerprints(own, "__text", size))
     reps, linked = near_copies(own, texts, size) if wide else classes(own, "__id", distance)
@@ -279,13 +279,14 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     judged = checkpointed(ids.alias("i").join(first, F.col("i.c").eqNullSafe(first["c"])).select("__id", "__h", "k", F.expr("__id <=> fi and __h = fh").alias("stays")))
     drop = judged.where("not stays").select("__id", "__h").distinct()
     again = judged.where("stays and k > 1").select("__id", "__h").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), *key(docs))
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("__row"), *key(docs))
     kept = joined(rows, checkpointed(drop).withColumn("__gone", F.lit(True)), [("__id", "__id"), ("__h", "__h")]).where("__gone is null").drop("__gone")
-    if (n := (again := checkpointed(again)).count()):
-        marked = joined(kept, again.withColumn("__more", F.lit(True)), [("__id", "__id"), ("__h", "__h")], rows=n)
+    again = checkpointed(again)
+    if not again.isEmpty():
+        marked = joined(kept, again.withColumn("__more", F.lit(True)), [("__id", "__id"), ("__h", "__h")])
         once = marked.where("__more").groupBy("__id", "__h").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
         kept = marked.where("__more is null").select("__row").union(once.select("__row"))
-    return kept.select("__row.*")
+    return kept.select(*[F.col(f"__row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,9 @@ def test_texts_below_08_stay(spark):
     rows += [row(500, " ".join(five)), row(501, " ".join(five + prose(2, 25).split())), row(502, " ".join(prose(3, 26).split() + five))]
     got = simhash.deduplicated(spark.createDataFrame(rows, SCHEMA), size=simhash.WIDE_SHINGLE, wide=True)
     assert sorted(r.doc_id for r in got.collect()) == [*range(120), 500, 502]
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([row(1, prose(1, 50)), row(2, prose(1, 50))], SCHEMA).withColumnRenamed("n", "x.y")
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [1]
