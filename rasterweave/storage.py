@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, kept in spark.checkpoint.dir; a local folder is used only where the session names none."""
+    """The same rows, kept in spark.checkpoint.dir; a local folder is used only where the session names none and all runs on this machine."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterweave-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="rasterweave-"))
     return df.checkpoint(eager=True)
