@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, joined, quoted, table
+from .common import checkpointed, col, dropped, joined, quoted, table
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -47,6 +47,8 @@ SIMILARITY = (4, 5)
 LEAST = 76
 MIX = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, BANDS * BAND), np.uint64) | np.uint64(1)
 BUCKET = 4096
+#: Rows of a bucket that are compared in one task take at most about so many bytes.
+GROUP_BYTES = 32_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -168,12 +170,35 @@ def wide_rows(docs: DataFrame, text: str, size: int = WIDE_SHINGLE) -> DataFrame
     return docs.mapInArrow(batches, schema)
 
 
-def wide_buckets(reps: DataFrame) -> DataFrame:
-    """(part, key, hub, n, fp): the bands in which several rows of reps (fp, sig) meet, with their least one."""
-    keys = f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, slice(sig, {BAND} * i + 1, {BAND})))"
-    entries = reps.select("fp", F.posexplode(F.expr(keys)).alias("part", "key"))
-    met = entries.groupBy("part", "key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return checkpointed(entries.join(met, ["part", "key"]))
+def wide_buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, fp, n): the bands in which n > 1 rows of reps (fp, sig) meet, key a hash with the band's number in its low
+    bits. And (fp, share): how many rows a row meets in all its bands. The text that copies were made of shares most."""
+    keys = f"transform(sequence(0, {BANDS - 1}), i -> (xxhash64(i, slice(sig, {BAND} * i + 1, {BAND})) & {-BANDS}L) | i)"
+    entries = reps.select("fp", F.explode(F.expr(keys)).alias("key"))
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = checkpointed(entries.join(sizes, "key").select("key", "fp", "n"))
+    return met, checkpointed(met.groupBy("fp").agg(F.sum("n").alias("share")))
+
+
+def hub_pairs(own: DataFrame, roots: bool = False) -> DataFrame:
+    """(a, b): each row of a bucket of own (key, fp, share) with the row there that shares most; with roots (column
+    root), with the one that shares most among those outside the first hub's component."""
+    hub = F.min(F.struct((-F.col("share")).alias("s"), "fp"))["fp"].alias("hub")
+    hubs = own.groupBy("key").agg(hub)
+    if roots:
+        first = own.join(hubs, "key").where("fp = hub").select("key", F.col("root").alias("r"))
+        own = own.join(first, "key")
+        hubs = own.where("root <> r").groupBy("key").agg(hub)
+    pairs = own.select("key", "fp").join(hubs, "key").where("fp <> hub")
+    return pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+
+
+def mixed(met: DataFrame, share: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, fp, share, root): the rows of buckets of several roots."""
+    label = share.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "share", F.coalesce("root", "fp").alias("root"))
+    own = met.select("key", "fp").join(label, "fp")
+    several = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return checkpointed(own.join(several, "key"))
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -183,36 +208,9 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return own.where(f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {LEAST}").select("a", "b")
 
 
-def cross_pairs(met: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): the pairs with LEAST equal minima that meet in a bucket, are not of one root and are not with its hub."""
-    label = roots.select(F.col("node").alias("fp"), "root")
-    own = met.where("n > 2").join(label, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = own.groupBy("part", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("part", "key")
-    own = own.join(mixed, ["part", "key"]).where("fp <> hub").select("part", "key", "n", "fp", "root")
-    full = own.join(reps.select("fp", "sig"), "fp")
-    rows = full.groupBy("part", "key").agg(F.collect_list(F.struct("fp", "root", "sig")).alias("rows")).where("size(rows) > 1").select("rows")
-
-    def crossed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for one in batch.column(0):
-                fields = one.values
-                ids, root = (fields.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                sig = fields.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                for k in range(len(ids) - 1):
-                    rest = k + 1 + np.nonzero(root[k + 1 :] != root[k])[0]
-                    near = ids[rest[(sig[rest] == sig[k]).sum(1) >= LEAST]]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, ids[k])), pa.array(np.maximum(near, ids[k]))], names=["a", "b"])
-
-    return rows.mapInArrow(crossed, "a long, b long").distinct()
-
-
-def exact(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are alike to SIMILARITY; texts: (__id, __h, __text). Only the texts of nodes
-    in pairs are read again."""
-    pairs = checkpointed(pairs)
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    asked = checkpointed(reps.join(asked, "fp").select("fp", F.col("row.__id").alias("ri"), F.col("row.__h").alias("rh")))
+def sets_of(nodes: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
+    """(fp, set): the shingle hashes of the nodes (fp); only their texts are read again."""
+    asked = checkpointed(reps.join(nodes.distinct(), "fp").select("fp", F.col("row.__id").alias("ri"), F.col("row.__h").alias("rh")))
     own = joined(texts, asked, [("__id", "ri"), ("__h", "rh")], "inner").select("fp", "__text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +218,11 @@ def exact(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WIDE_
             sets = [shingle_hashes(t.as_py(), size).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
 
-    sets = checkpointed(own.mapInArrow(batches, "fp long, set array<long>").dropDuplicates(["fp"]))
+    return checkpointed(own.mapInArrow(batches, "fp long, set array<long>").dropDuplicates(["fp"]))
+
+
+def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are alike to SIMILARITY."""
     both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     both = both.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
     # shared / (x + y - shared) >= SIMILARITY, in whole numbers
@@ -228,17 +230,79 @@ def exact(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WIDE_
     return checkpointed(both.where(f"{up + down} * size(array_intersect(x, y)) >= {up} * (size(x) + size(y))").select("a", "b"))
 
 
+def spanning(rows: list[tuple[int, int, np.ndarray, np.ndarray]], part: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of SIMILARITY that, with the roots, span all such links between rows (id, root, minima, set) whose first
+    equal band is `part`; with `across` (a side of each row), between rows of different sides only."""
+    up, down = SIMILARITY
+    parent = {r: r for _, r, _, _ in rows}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    sigs = np.stack([x[2] for x in rows])
+    out = []
+    for i, (fp, root, sig, own) in enumerate(rows[:-1]):
+        rest = i + 1 + np.nonzero((sigs[i + 1 :] == sig).sum(1) >= LEAST)[0]
+        if across is not None:
+            rest = rest[across[rest] != across[i]]
+        first = (sigs[rest].reshape(-1, BANDS, BAND) == sig.reshape(BANDS, BAND)).all(2).argmax(1)
+        for j in rest[first == part].tolist():
+            if find(root) != find(rows[j][1]):
+                other = rows[j][3]
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if (up + down) * shared >= up * (len(own) + len(other)):
+                    out.append((fp, rows[j][0]))
+                    parent[find(root)] = find(rows[j][1])
+    return out
+
+
+def rest_links(own: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that span what hubs have not joined, of buckets of mixed(); fewer than their rows.
+
+    A bucket is one group of rows with their sets up to GROUP_BYTES; beyond, its rows are dealt into sides and every two
+    sides are a group."""
+    nodes = sets.join(own.select("fp").distinct(), "fp").join(reps.select("fp", "sig"), "fp").select("fp", "sig", "set")
+    sizes = own.join(sets.select("fp", F.size("set").alias("size")), "fp").groupBy("key").agg(F.ceil(F.sum(8 * F.col("size") + 600) / GROUP_BYTES).alias("k"))
+    own = own.select("key", "fp", "root").join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("fp"), "k"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    own = own.withColumn("o", other).withColumns({"s0": F.least("side", "o"), "s1": F.greatest("side", "o")}).join(nodes, "fp")
+    groups = own.groupBy("key", "s0", "s1").agg(F.collect_list(F.struct("fp", "root", "sig", "set", "side")).alias("rows"))
+
+    def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for key, s0, s1, one in zip(*batch.columns, strict=True):
+                f = [one.values.field(k) for k in range(5)]
+                ids, root, side = (f[k].to_numpy(zero_copy_only=False) for k in (0, 1, 4))
+                rows = [(int(a), int(b), x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for a, b, x, y in zip(ids, root, f[2], f[3], strict=True)]
+                got = spanning(rows, key.as_py() % BANDS, None if s0.as_py() == s1.as_py() else side) if len(rows) > 1 else []
+                if got:
+                    a = np.array(got, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.min(1)), pa.array(a.max(1))], names=["a", "b"])
+
+    return groups.select("key", "s0", "s1", "rows").mapInArrow(linked, "a long, b long").distinct()
+
+
 def near_copies(rows: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> tuple[DataFrame, DataFrame]:
     """As classes(), for rows of wide_rows of texts (__id, __h, __text): (fp, id, n), and (fp, component_id) of the linked ones.
 
-    Each node is first compared with the least node of its buckets; then all pairs that meet but are not yet in one
-    component are. A link is one of exact()."""
+    Each node is first compared with the node of its buckets that shares most, then with that of those still apart; what
+    is left apart in a bucket is compared there, and only links that span its components leave. A link is one of exact
+    shingle sets."""
     least = (F.min("__id").alias("id"), F.min(F.struct("__id", "__h")).alias("row"))
     reps = checkpointed(rows.groupBy("fp").agg(*least, F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
-    met = wide_buckets(reps)
-    found = exact(alike(met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")), reps), reps, texts, size)
-    more = exact(cross_pairs(met, reps, components(found)), reps, texts, size)
-    roots = components(found.union(more))
+    met, share = wide_buckets(reps)
+    sets = sets_of(share.select("fp"), reps, texts, size)
+    found = exact(alike(hub_pairs(met.join(share, "fp")), reps), sets)
+    apart = mixed(met, share, components(found))
+    found = found.union(exact(alike(hub_pairs(apart, True), reps), sets))
+    dropped(apart)
+    apart = mixed(met, share, components(found))
+    dropped(met)
+    roots = components(found.union(checkpointed(rest_links(apart, reps, sets))))
+    dropped(sets)
     roots = checkpointed(roots.join(reps.select("fp", "id"), F.col("node") == F.col("fp")).select("fp", "id", "root"))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     return reps.select("fp", "id", "n"), roots.join(least, "root").select("fp", "component_id")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,3 +170,29 @@ def test_names_with_dots(spark):
     docs = spark.createDataFrame([row(1, prose(1, 50)), row(2, prose(1, 50))], SCHEMA).withColumnRenamed("n", "x.y")
     got = simhash.deduplicated(docs)
     assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [1]
+
+
+@pytest.mark.parametrize("limit", [10**9, 4_000])
+def test_near_copies_against_all_pairs(spark, monkeypatch, limit):
+    """Copies that are alike to their origin but not to each other, chains, and texts a little below 0.8."""
+    monkeypatch.setattr(simhash, "GROUP_BYTES", limit)
+    r, texts = random.Random(6), []
+    for i in range(5):
+        words = prose(11_000 + i, 200).split()
+        for _ in range(14):
+            copy, share = list(words), r.choice([3, 4, 5, 6])
+            for at in r.sample(range(200), share):
+                copy[at] = "zq" + prose(r.randrange(10**6), 1)
+            texts.append(copy)
+        for _ in range(6):  # a chain of appended passages
+            texts.append([*texts[-1][20:], *prose(r.randrange(10**6), 14).split()])
+    r.shuffle(texts)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = simhash.deduplicated(spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA), size=simhash.WIDE_SHINGLE, wide=True)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(root))
+    assert 5 <= len(set(root)) < len(texts)
