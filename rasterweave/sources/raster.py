@@ -35,7 +35,8 @@ def read_raster(spark: SparkSession, path: str, bands: Sequence[int] | None = No
 
 
 def decoded(files: DataFrame, bands: Sequence[int] | None = None, mask_nodata: bool = False) -> DataFrame:
-    """(image_id, band, y, x, v) of TIFF files as rows (path, content): a file in one task, decoded band by band."""
+    """(image_id, band, y, x, v) of TIFF files as rows (path, content): a file in one task, decoded band by band where the
+    file holds bands apart, else at once."""
     wanted = list(bands) if bands else None
     if wanted and any(isinstance(b, bool) or not isinstance(b, int) or b < 1 for b in wanted):
         raise ValueError("bands are ints from 1")
@@ -44,8 +45,10 @@ def decoded(files: DataFrame, bands: Sequence[int] | None = None, mask_nodata: b
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 info = tiff.header(content)
-                for b in wanted or range(1, info["count"] + 1):
-                    plane = tiff.decode(content, [b])[0][0].astype(float)
+                chosen = wanted or list(range(1, info["count"] + 1))
+                whole = None if info["apart"] else tiff.decode(content, chosen)[0]
+                for i, b in enumerate(chosen):
+                    plane = (tiff.decode(content, [b])[0][0] if whole is None else whole[i]).astype(float)
                     if mask_nodata and info["nodata"] is not None:
                         plane[plane == info["nodata"]] = np.nan
                     h, w = plane.shape

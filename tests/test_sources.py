@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -23,6 +24,84 @@ def test_round_trip(kind, compress):
         tiff.decode(data, [4])
 
 
+def lzw_codes(raw):
+    """An encoder for the test: the codes with their widths as one bit string."""
+    table, bits, last = {bytes([i]): i for i in range(256)}, f"{256:09b}", b""
+    n, width = 258, 9
+    for b in raw:
+        if last + bytes([b]) in table:
+            last += bytes([b])
+            continue
+        bits += f"{table[last]:0{width}b}"
+        table[last + bytes([b])] = n
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        last = bytes([b])
+        if n == 4094:
+            bits += f"{table[last]:0{width}b}" + f"{256:0{width}b}"
+            table, last, n, width = {bytes([i]): i for i in range(256)}, b"", 258, 9
+    bits += f"{table[last]:0{width}b}" if last else ""
+    n, bits = n + 1, bits
+    width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    bits += f"{257:0{width}b}"
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def tiled(a, side, coding, predictor, big, order):
+    """(bands, rows, columns) as tiles, all bands interleaved."""
+    n, h, w = a.shape
+    kind = a.dtype.newbyteorder(order)
+    blocks = []
+    for y in range(0, h, side):
+        for x in range(0, w, side):
+            t = np.zeros((side, side, n), a.dtype)
+            part = a[:, y : y + side, x : x + side].transpose(1, 2, 0)
+            t[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                t[:, 1:] = t[:, 1:] - t[:, :-1]
+            raw = t.astype(kind).tobytes()
+            if predictor == 3:
+                planes = np.frombuffer(t.astype(a.dtype.newbyteorder(">")).tobytes(), np.uint8).reshape(side, side * n, -1).transpose(0, 2, 1).reshape(side, -1, n).copy()
+                planes[:, 1:] = planes[:, 1:] - planes[:, :-1]
+                raw = planes.tobytes()
+            blocks.append({1: bytes, 5: lzw_codes, 8: zlib.compress}[coding](raw))
+    form = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
+    place, size = ("Q", 16) if big else ("I", 4)
+    fields = [(256, [w]), (257, [h]), (258, [a.dtype.itemsize * 8] * n), (259, [coding]), (277, [n]), (284, [1]), (317, [predictor]), (322, [side]), (323, [side]), (324, [0] * len(blocks)), (325, [len(b) for b in blocks]), (339, [form] * n)]
+    width = 8 if big else 4
+    start = 16 if big else 8
+    after = start + (8 if big else 2) + len(fields) * (20 if big else 12) + width
+    kinds = place if big else "I"
+    at = after + sum(width * len(v) for _, v in fields if len(v) > 1)
+    for i, b in enumerate(blocks):
+        fields[9][1][i] = at
+        at += len(b)
+    head, extra = b"", b""
+    for tag, v in fields:
+        raw = struct.pack(f"{order}{len(v)}{kinds}", *v)
+        field = raw if len(v) == 1 else struct.pack(order + place, after + len(extra))
+        extra += b"" if len(v) == 1 else raw
+        head += struct.pack(order + "HH" + place, tag, 16 if big else 4, len(v)) + field
+    mark = b"II" if order == "<" else b"MM"
+    first = struct.pack(order + "HHHQ", 43, 8, 0, 16) + struct.pack(order + "Q", len(fields)) if big else struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", len(fields))
+    return mark + first + head + b"\0" * width + extra + b"".join(blocks)
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("big", [True, False])
+@pytest.mark.parametrize(("kind", "coding", "predictor"), [("uint8", 5, 1), ("uint16", 5, 2), ("uint16", 8, 2), ("float32", 8, 3), ("float64", 5, 3), ("int16", 1, 1), ("uint8", 8, 2)])
+def test_tiles(kind, coding, predictor, big, order):
+    a = (np.random.default_rng(3).integers(0, 90, (3, 37, 50)) ** 2 / 3).astype(kind)
+    got, info = tiff.decode(tiled(a, 16, coding, predictor, big, order))
+    assert got.dtype == a.dtype and (got == a).all() and info["width"] == 50
+    assert (tiff.decode(tiled(a, 16, coding, predictor, big, order), [2])[0][0] == a[1]).all()
+
+
+def test_packed_bits():
+    assert tiff.unpacked(bytes([2, 1, 2, 3, 254, 9, 128, 0, 7])) == bytes([1, 2, 3, 9, 9, 9, 7])
+
+
 def test_not_a_file():
     with pytest.raises(ValueError):
         tiff.header(b"PNG")
