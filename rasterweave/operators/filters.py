@@ -36,11 +36,13 @@ def gaussian_blur(df: DataFrame, size: int = 5, sigma: float = 1.0, keys=KEYS) -
 
 
 def median_filter(df: DataFrame, size: int = 3, keys=KEYS) -> DataFrame:
+    """The middle one of the window's pixels that are there (the lower of two); NULL if none is."""
     k = kernel_size(size)
     n = k * k
     got = neighbours(in_strips(df, k // 2, keys), box(k // 2), "v", "__n", keys)
     names = [f"__n{i}" for i in range(n)]
-    return own_rows(got.withColumn("v", F.sort_array(F.array(*names))[n // 2]).drop(*names))
+    there = F.array_compact(F.array(*names))
+    return own_rows(got.withColumn("v", F.get(F.sort_array(there), F.floor((F.size(there) - 1) / 2).cast("int"))).drop(*names))
 
 
 FILTERS: dict[str, Callable[..., DataFrame]] = {"mean": mean_blur, "box": mean_blur, "gaussian": gaussian_blur, "median": median_filter}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import checkpointed
 from .edges import gradients
 from .filters import gaussian_weights
 from .neighborhood import KEYS, box, in_strips, neighbours, own_rows, separable, windowed
@@ -43,7 +44,7 @@ def harris_response(df: DataFrame, k: float = 0.04, sigma: float = 1.0, nms_size
 
 def harris_corners(df: DataFrame, k: float = 0.04, threshold_ratio: float = 0.01, sigma: float = 1.0, nms_size: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, y, x, response of the local maxima above a share of the image's peak; none where that is not above 0."""
-    got = harris_response(df, k, sigma, nms_size, keys)
+    got = checkpointed(harris_response(df, k, sigma, nms_size, keys))
     peak = got.groupBy(*keys).agg(F.max("response").alias("__peak"))
     got = got.where("top").join(peak, list(keys))
     return got.where((F.col("__peak") > 0) & (F.col("response") > F.col("__peak") * F.lit(threshold_ratio))).drop("top", "__peak")

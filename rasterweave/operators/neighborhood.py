@@ -5,6 +5,8 @@ strips. All windows of a chain of operators then run inside strips, over one shu
 and the horizontal window only sort anew. No task holds more than a strip, however tall an image is.
 
 Pads: "reflect" (the edge is not repeated), or a constant. A pixel outside the image is told from a NULL inside.
+A pixel without a value is a row with a NULL. A pixel without a row, or with several, would shift its neighbours:
+shifted() compares coordinates and fails with a message; windowed() goes by coordinates and takes what is there.
 """
 
 from __future__ import annotations
@@ -44,10 +46,18 @@ def shifted(column: Column | str, k: int, axis: str, keys: Sequence[str] = KEYS,
     """The value k pixels further on the axis "y" (down) or "x" (right)."""
     across = "x" if axis == "y" else "y"
     w = Window.partitionBy(*keys, "__s", across).orderBy(axis)
-    own = F.struct((F.col(column) if isinstance(column, str) else column).alias("v"))
+    own = F.struct((F.col(column) if isinstance(column, str) else column).alias("v"), F.col(axis).alias("c"))
     if k == 0:
         return own["v"]
-    at = lambda j: F.lead(own, j).over(w) if j > 0 else F.lag(own, -j).over(w) if j else own
+
+
+    def at(j: int) -> Column:
+        if not j:
+            return own
+        there = F.lead(own, j).over(w) if j > 0 else F.lag(own, -j).over(w)
+        gap = F.raise_error(F.concat_ws(" ", F.lit("pixels are missing or repeated near y, x ="), "y", "x"))
+        return F.when(there["c"] != F.col(axis) + j, gap).otherwise(there)
+
     if pad == "reflect":
         # i pixels before the edge, a step of k is turned back to a step of 2 i - k.
         side, n = (1, k) if k > 0 else (-1, -k)
@@ -100,6 +110,6 @@ def separable(df: DataFrame, weights: Sequence[float], column: str = "v", out: s
 def windowed(df: DataFrame, aggregate: Callable[[Column | str], Column], radius: int, column: str = "v", out: str = "v", keys: Sequence[str] = KEYS) -> DataFrame:
     """df (in strips) with `out`: an aggregate over the box, of the pixels inside the image only."""
     for axis, source, to in (("y", column, "__p"), ("x", "__p", out)):
-        w = Window.partitionBy(*keys, "__s", "x" if axis == "y" else "y").orderBy(axis).rowsBetween(-radius, radius)
+        w = Window.partitionBy(*keys, "__s", "x" if axis == "y" else "y").orderBy(axis).rangeBetween(-radius, radius)
         df = df.withColumn(to, aggregate(source).over(w))
     return df.drop("__p")

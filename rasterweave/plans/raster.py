@@ -72,7 +72,7 @@ def _(spark, d):
 
 @query("s2_read_band", f"with {MULTI} select y, x, v::double as v from ml where band = 4")
 def _(spark, d):
-    return fx.scene_long(spark, d).where("band = 4").select("y", "x", F.col("v").cast("double").alias("v"))
+    return src.decoded(_scene_files(spark, d).where("path like '%4'"), [1]).select("y", "x", "v")
 
 
 @query("s7_to_gray", f"with {MULTI} select y, x, ((swir * 19595 + green * 38470 + red * 7471 + 32768) >> 16)::int as v from m")

@@ -286,3 +286,16 @@ def test_watershed(spark):
     colours = op.colourised(spark.createDataFrame([("a", 0, i, v) for i, v in enumerate([1, -1, 0, 2])], "image_id string, y int, x int, label int")).orderBy("x").collect()
     assert [tuple(c)[3:] for c in colours[:3]] == [(50, 50, 50), (255, 0, 0), (0, 0, 0)] and min(tuple(colours[3])[3:]) >= 40
     assert (flood(np.zeros((1, 5)), np.array([[2, 0, 0, 0, 3]])) == [[2, 2, -1, 3, 3]]).all()
+
+
+def test_missing_and_repeated_pixels(spark, noise):
+    """A missing or repeated row is told, not taken for its neighbour; a NULL is a pixel that is not there."""
+    df = frame(spark, noise)
+    for broken in (df.where("not (y = 5 and x = 6)"), df.union(df.where("y = 5 and x = 6"))):
+        with pytest.raises(Exception, match="missing or repeated"):
+            op.mean_blur(broken, 3).collect()
+    holes = df.withColumn("v", F.when(F.expr("(y + x) % 2 = 0"), F.col("v")))
+    got = back(op.median_filter(holes, 3))
+    p = np.pad(np.where(np.add.outer(range(17), range(13)) % 2 == 0, noise, np.nan), 1, mode="reflect")
+    there = [[sorted(v for v in p[y : y + 3, x : x + 3].ravel() if v == v) for x in range(13)] for y in range(17)]
+    assert all(got[y, x] == there[y][x][(len(there[y][x]) - 1) // 2] for y in range(17) for x in range(13))
