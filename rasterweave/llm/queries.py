@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op5_quality_rules": quality.SQL,
     "op6_chat_formatting": chat.SQL,
+    "op7_secret_scans": secrets.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
 }

@@ -176,3 +176,33 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         many("verdict", "example").alias("n_example"),
         F.coalesce(F.array_max(F.transform("found", lambda x: x["n_owners"])), F.lit(0)).cast("long").alias("most_owners"),
     )
+
+
+def _sql() -> str:
+    """Spans from the texts between matches; the ownership of values by their MD5, which tells as well which are equal."""
+    patterns = {
+        "assign": (r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""),
+        **{k: (KINDS[k][0].pattern, "") for k in KINDS if k != "assign"},
+    }
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " union all ".join(
+        f"select rid, doc_id, source, '{k}' as kind, {i} as o, {KINDS[k][2]} as least, {q(head)} as head, regexp_extract_all(t, {q(p)}) as ms, string_split_regex(t, {q(p)}) as ps from d where regexp_matches(t, {q(p)})"
+        for i, (k, (p, head)) in enumerate(patterns.items())
+    )
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, o){where}, '')"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as t from documents),
+  k as ({each}),
+  m as (select * exclude (ms, ps), unnest(range(1, len(ms) + 1)) as i, ms, ps from k),
+  p as (select rid, doc_id, source, kind, o, least, ms[i] as x, if(head = '', ms[i], regexp_replace(ms[i], head, '')) as v,
+      list_sum(list_transform(ps[1:i], lambda z: length(z)))::bigint + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0)::bigint as s from m),
+  f as (select *, s + length(x) as e, md5(v) as h, len(list_distinct(string_split(v, ''))) < 5 or regexp_matches(v, {q("(?i)" + _PLACEHOLDER.pattern)}) as ph from p where length(v) >= least),
+  own as (select h, count(distinct coalesce(doc_id::varchar, 'null')) as repos, count(distinct coalesce(source, 'null')) as owners, bool_or(ph) as ph from f group by h),
+  j as (select f.*, repos, owners, case when owners >= {EXAMPLE_OWNERS} or repos >= {EXAMPLE_REPOS} then 'example' when own.ph then 'placeholder' else 'live' end as verdict from f join own using (h)),
+  g as (select rid, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in BASE)}, {listed(" filter (kind in ('assign', 'access', 'hex'))")} as base, {listed('')} as spans,
+      count(*) filter (verdict = 'live') as n_live, count(*) filter (verdict = 'example') as n_example, max(owners) as most from j group by rid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0)::bigint as n_live, coalesce(n_example, 0)::bigint as n_example, coalesce(most, 0)::bigint as most_owners from d left join g using (rid)"""
+
+
+SQL = _sql()
