@@ -13,16 +13,12 @@ from pyspark.sql.window import Window
 from ..storage import checkpointed
 from .edges import gradients
 from .filters import gaussian_weights
-from .neighborhood import KEYS, box, in_strips, neighbours, own_rows, separable, windowed
+from .neighborhood import KEYS, box, image_size, in_strips, neighbours, own_rows, separable, windowed
 
 #: The circle of radius 3 as (row, column) steps, clockwise from the top.
 CIRCLE = [(-3, 0), (-3, 1), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1)]
 
 
-def image_size(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return df.groupBy(*keys).agg((F.max("y") + 1).alias("__H"), (F.max("x") + 1).alias("__W"))
-
-
 def local_maxima(df: DataFrame, column: str, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """df (in strips) with `top`: the column equals the greatest value of the window around it."""
     got = windowed(df, F.max, size // 2, column, "__top", keys)

@@ -113,3 +113,22 @@ def windowed(df: DataFrame, aggregate: Callable[[Column | str], Column], radius:
         w = Window.partitionBy(*keys, "__s", "x" if axis == "y" else "y").orderBy(axis).rangeBetween(-radius, radius)
         df = df.withColumn(to, aggregate(source).over(w))
     return df.drop("__p")
+
+
+def image_size(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return df.groupBy(*keys).agg((F.max("y") + 1).alias("__H"), (F.max("x") + 1).alias("__W"))
+
+
+def interior(df: DataFrame, margin: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The pixels at least `margin` from the border."""
+    inside = df.join(image_size(df, keys), list(keys)).where(F.expr(f"y >= {margin} and x >= {margin} and y < __H - {margin} and x < __W - {margin}"))
+    return inside.drop("__H", "__W")
+
+
+def aligned(df: DataFrame, bands: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, y, x, b1, b2, ...): the pixels that all the bands have, side by side, from (keys, band, y, x, v)."""
+    out = None
+    for b in bands:
+        one = df.where(F.col("band") == b).select(*keys, "y", "x", F.col("v").alias(f"b{b}"))
+        out = one if out is None else out.join(one, [*keys, "y", "x"])
+    return out

@@ -19,6 +19,11 @@ def summary(df: DataFrame, keys: Sequence[str] = (), column: str = "v") -> DataF
     return df.groupBy(*keys).agg(F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"))
 
 
+def peak(df: DataFrame, keys: Sequence[str] = KEYS, column: str = "v", out: str = "peak") -> DataFrame:
+    """The greatest value of each image."""
+    return df.groupBy(*keys).agg(F.max(column).alias(out))
+
+
 def band_stats(df: DataFrame, keys: Sequence[str] = ("image_id", "band"), column: str = "v") -> DataFrame:
     """n, min, max, mean, population std, and exact linearly interpolated p2 and p98 of each band."""
     p = F.percentile(column, F.array(F.lit(0.02), F.lit(0.98)))

@@ -11,7 +11,7 @@ from .. import fixtures as fx
 from .. import functions as pt
 from .. import operators as op
 from ..fixtures import CHIPS, GRAY, MULTI
-from ..operators import edges, keypoints, stats
+from ..operators import edges, keypoints, neighborhood, segmentation, stats
 from ..operators.filters import gaussian_kernel
 from ..operators.morphology import offsets
 from ..operators.neighborhood import in_strips, own_rows
@@ -214,8 +214,7 @@ def _(spark, d):
 @query("f8_interior", sql.gray(select="select count(*) as n, min(y) as y0, min(x) as x0, max(x) as x1 from g where y between 3 and (select max(y) - 3 from g) and x between 3 and 60"))
 def _(spark, d):
     g = fx.scene_gray(spark, d)
-    inside = g.join(keypoints.image_size(g), "image_id").where("y >= 3 and x >= 3 and y < __H - 3 and x < __W - 3")
-    return inside.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return neighborhood.interior(g, 3).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
 # Joins and aggregates --------------------------------------------------------------------------------------------
@@ -223,9 +222,7 @@ def _(spark, d):
 
 @query("j1_band_alignment", f"with {MULTI} select a.y, a.x, a.v - b.v as difference from ml a join ml b on a.y = b.y and a.x = b.x where a.band = 4 and b.band = 3")
 def _(spark, d):
-    m = fx.scene_long(spark, d)
-    a, b = m.where("band = 4").drop("band"), m.where("band = 3").drop("band").withColumnRenamed("v", "w")
-    return yx(a.join(b, ["image_id", "y", "x"]), difference=F.col("v") - F.col("w"))
+    return yx(neighborhood.aligned(fx.scene_long(spark, d), [4, 3]), difference=F.col("b4") - F.col("b3"))
 
 
 CENTRES = [[40.0, 60.0, 80.0], [120.0, 130.0, 140.0], [200.0, 90.0, 30.0], [220.0, 210.0, 200.0]]
@@ -295,7 +292,7 @@ def _(spark, d):
 
 @query("a9_peak", f"with {CHIPS} select image_id, max(v) as peak from c group by image_id")
 def _(spark, d):
-    return fx.chips(spark, d).groupBy("image_id").agg(F.max("v").alias("peak"))
+    return stats.peak(fx.chips(spark, d)).select("image_id", "peak")
 
 
 def _pairs(angle: int) -> str:
@@ -591,14 +588,14 @@ def _(spark, d):
 @query("p16_repaint", f"with {MULTI}, l as (select y, x, red, ({_nearest_sql()})::int as i from m), c as (select i, trunc(avg(red))::int as red from l group by i) select y, x, c.red as v from l join c on c.i = l.i")
 def _(spark, d):
     m = fx.scene_multi(spark, d).withColumn("label", nearest(["red", "nir", "green"], CENTRES))
-    means = m.groupBy("label").agg(F.avg("red").cast("int").alias("v"))
-    return m.join(F.broadcast(means), "label").select("y", "x", "v")  # one row a centre
+    return segmentation.repainted(m, ["red"]).select("y", "x", F.col("red").alias("v"))
 
 
 @query("a11_cluster_means", f"with {MULTI} select ({_nearest_sql()})::int as label, count(*) as n, round(avg(red), 6) as red, round(avg(nir), 6) as nir, round(avg(green), 6) as green from m group by 1")
 def _(spark, d):
     m = fx.scene_multi(spark, d).withColumn("label", nearest(["red", "nir", "green"], CENTRES))
-    return m.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(c)).alias(c) for c in ("red", "nir", "green")])
+    means = segmentation.cluster_means(m, ["red", "nir", "green"])
+    return means.select("label", "n", *[r6(c).alias(c) for c in ("red", "nir", "green")])
 
 
 @query("a21_distinct_labels", sql.gray(MASK, sql.COMPONENTS, select="select distinct label::int as label from lab", recursive=True))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +134,24 @@ def to_png(df: DataFrame) -> DataFrame:
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "content": [tiff.png(a)]})
 
     return df.groupBy("image_id").applyInPandas(run, df.select("image_id", F.lit(b"").alias("content")).schema)
+
+
+def write_scenes(files: DataFrame, uri: str, suffix: str = ".tif") -> list[str]:
+    """Writes rows (image_id, content) as files under a folder that all executors reach; gives their paths.
+
+    A file is written under a name of the attempt and moved into place, so a task that runs again replaces it. Names are
+    the ids, with what no file name should hold replaced."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = fs.FileSystem.from_uri(uri)
+        store.create_dir(folder, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for pdf in it:
+            names = [re.sub(r"[^\w.-]+", "_", str(i).rsplit("/", 1)[-1]).removesuffix(suffix) + suffix for i in pdf["image_id"]]
+            for name, content in zip(names, pdf["content"], strict=True):
+                with store.open_output_stream(f"{folder}/.{attempt}-{name}", compression=None) as out:
+                    out.write(bytes(content))
+                store.move(f"{folder}/.{attempt}-{name}", f"{folder}/{name}")
+            yield pd.DataFrame({"path": [f"{folder}/{n}" for n in names]})
+
+    return sorted(r["path"] for r in files.select("image_id", "content").mapInPandas(run, "path string").collect())
