@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -436,7 +438,13 @@ def _(spark, d):
     return yx(op.texture_map(fx.scene_gray(spark, d), window=5), v=r6("v"))
 
 
-@query("n22_texture_entropy")
+@query("n22_texture_entropy", sql.gray(
+    "q as (select y, x, greatest(0, least(7, v * 8 // 256))::int as l from g)", "dm as (select max(y) as my, max(x) as mx from q)",
+    f"pd as (select py::int as y, px::int as x, l from (select unnest(range(-2, my + 3)) as py, my, mx from dm) a cross join (select unnest(range(-2, 66)) as px) b join q on q.y = ({sql.mirror('py', 'my')}) and q.x = ({sql.mirror('px', 'mx')}))",
+    "pr as (select a.y, a.x, a.l as i, b.l as j from pd a join pd b on b.y = a.y - 1 and b.x = a.x)",
+    "wn as (select q.y, q.x, i, j from q join pr on pr.y between q.y - 1 and q.y + 2 and pr.x between q.x - 2 and q.x + 2)",
+    "ct as (select y, x, i, j, count(*) / 40.0::double as p from (select y, x, i, j from wn union all select y, x, j, i from wn) group by y, x, i, j)",
+    select="select y, x, round(-sum(p * log2(p)), 6) + 0.0::double as v from ct group by y, x"))
 def _(spark, d):
     return yx(op.texture_map(fx.scene_gray(spark, d), "entropy", window=5, angle=90), v=r6("v"))
 
@@ -493,7 +501,12 @@ def _(spark, d):
     return op.watershed(fx.scene_gray(spark, d)).select("y", "x", "label")
 
 
-@query("p15_colourised")
+def _palette_sql(n: int = 10_000) -> str:
+    colours = segmentation.palette(range(1, n + 1))
+    return "pal as (select * from (values " + ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in sorted(colours.items()) if k > 0) + ") t(label, r, g, b))"
+
+
+@query("p15_colourised", sql.gray(MASK, sql.COMPONENTS, _palette_sql(), select="select g.y, g.x, " + ", ".join(f"coalesce({c}, 0)::int as {c}" for c in "rgb") + " from g left join lab using (y, x) left join pal using (label)", recursive=True))
 def _(spark, d):
     small = fx.scene_gray(spark, d)
     return op.colourised(op.labelled(op.binary(small, 150))).select("y", "x", "r", "g", "b")
@@ -555,12 +568,25 @@ def _(spark, d):
     return yx(op.orb_keypoints(fx.scene_gray(spark, d), n_bits=8), theta=r6("theta"))
 
 
-@query("d5_orb")
+_PATTERN = ", ".join(f"({i}, {side}, {p[2 * side]!r}::double, {p[2 * side + 1]!r}::double)" for i, p in enumerate(keypoints.brief_pattern()) for side in (0, 1))
+_ORB = ",\n".join([
+    _FAST, "dm as (select max(y) as my, max(x) as mx from g)",
+    "th as (select fk.y, fk.x, atan2(sum((g.y - fk.y) * g.v)::double, sum((g.x - fk.x) * g.v)::double) as t from fk join g on g.y between fk.y - 3 and fk.y + 3 and g.x between fk.x - 3 and fk.x + 3 where fk.x between 7 and 56 and fk.y between 7 and (select my - 7 from dm) group by fk.y, fk.x)",
+    f"pt as (select * from (values {_PATTERN}) t(bit, side, py, px))",
+    "ak as (select y as ky, x as kx, bit, side, greatest(0, least(my, round_even(y + (py * cos(t) - px * sin(t)), 0)::int)) as y, greatest(0, least(mx, round_even(x + (py * sin(t) + px * cos(t)), 0)::int)) as x from th cross join pt cross join dm)",
+    "pq as (select ky, kx, bit, max(v) filter (side = 0) as p, max(v) filter (side = 1) as q from ak join g using (y, x) group by ky, kx, bit)",
+])
+
+
+@query("d5_orb", sql.gray(_ORB, select="select ky as y, kx as x, string_agg(case when p < q then '1' else '0' end, '' order by bit) as bits from pq group by ky, kx"))
 def _(spark, d):
     return yx(op.orb_keypoints(fx.scene_gray(spark, d)), bits=F.array_join("bits", ""))
 
 
-@query("d6_drawn")
+_RING = sorted({(round(3 * math.sin(a)), round(3 * math.cos(a))) for a in np.linspace(0, 2 * np.pi, 25).tolist()})
+
+
+@query("d6_drawn", sql.gray(_FAST, f"mk as (select distinct fk.y + dy as y, fk.x + dx as x from fk cross join (values {', '.join(map(str, _RING))}) t(dy, dx))", select="select g.y, g.x, " + ", ".join(f"case when mk.y is null then g.v else {c} end::int as {n}" for n, c in (("r", 255), ("g", 0), ("b", 0))) + " from g left join mk on mk.y = g.y and mk.x = g.x"))
 def _(spark, d):
     g = fx.scene_gray(spark, d)
     return op.drawn(g, op.fast_corners(g)).select("y", "x", "r", "g", "b")
