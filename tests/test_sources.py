@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterweave import functions as pt
 from rasterweave import sources, streaming
-from rasterweave.sources import tiff
+from rasterweave.sources import raster, tiff
 
 
 @pytest.mark.parametrize("kind", ["uint8", "uint16", "int16", "int32", "float32", "float64"])
@@ -146,3 +146,13 @@ def test_stream(spark, tmp_path):
     stream = streaming.applied(streaming.pixel_stream(spark, str(tmp_path / "in")), pt.to_byte(F.col("v") * 100))
     streaming.each_scene(stream, lambda b: b.groupBy("image_id").agg(F.max("v").alias("m")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().m == 255
+
+
+def test_scenes_written_as_files(spark, tmp_path):
+    a = np.arange(12).reshape(3, 4)
+    px = spark.createDataFrame([("s/one", b, y, x, float(a[y, x] + b)) for b in (1, 2) for y in range(3) for x in range(4)], "image_id string, band int, y int, x int, v double")
+    files = sources.to_tiff(px, "int16", epsg=4326).withColumn("image_id", F.concat_ws("_b", "image_id", "band"))
+    names = raster.write_scenes(files, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one_b1.tif", "one_b2.tif"] and len(names) == 2
+    back = sources.read_raster(spark, f"{tmp_path}/out")
+    assert back.count() == 24 and back.where("image_id like '%b2.tif' and y = 2 and x = 3").first().v == 13.0
