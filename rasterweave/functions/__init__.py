@@ -7,6 +7,7 @@ from .point import (  # noqa: F401
     adjust_gamma,
     clip,
     index_byte,
+    index_image,
     luma,
     ndbi,
     ndvi,

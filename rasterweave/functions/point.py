@@ -81,6 +81,13 @@ def index_byte(index: Column | str) -> Column:
     return ((clip(index, -1.0, 1.0) + 1.0) / 2.0 * 255.0).cast("int")
 
 
+def index_image(index: Column | str, colormap: str | None = None) -> Column:
+    """An index in -1..1 as gray 0..255 (None) or by the vegetation ramp as struct r, g, b ("veg")."""
+    if colormap not in (None, "veg"):
+        raise ValueError("colormap is None or 'veg'")
+    return index_byte(index) if colormap is None else ramp((clip(index, -1.0, 1.0) + 1.0) / 2.0)
+
+
 def ramp(unit: Column | str, stops: list[tuple[float, tuple[int, int, int]]] = RAMP) -> Column:
     """A value in 0..1 as struct r, g, b: piecewise linear between stops, truncated."""
     u = col(unit)
@@ -98,7 +105,7 @@ def quantise(c: Column | str, levels: int) -> Column:
     """Gray 0..255 as a level 0..levels - 1."""
     if levels < 1:
         raise ValueError("levels must be positive")
-    return F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor(col(c) * levels / 256))).cast("int")
+    return clip(F.floor(col(c) * levels / 256), 0, levels - 1).cast("int")
 
 
 def threshold(c: Column | str, t: float = 127, invert: bool = False, strict: bool = False, check: bool = True) -> Column:

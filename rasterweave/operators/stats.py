@@ -88,52 +88,50 @@ def otsu_threshold(df: DataFrame, invert: bool = False, keys: Sequence[str] = KE
 
 
 def equalised(df: DataFrame, bins: int = 256, keys: Sequence[str] = KEYS, column: str = "v", out: str = "v") -> DataFrame:
-    """df with the cumulative share of the histogram, interpolated linearly between bin centres."""
+    """df with the cumulative share of the histogram, interpolated linearly between bin centres; a missing pixel stays so."""
     ends = df.groupBy(*keys).agg(F.min(column).cast("double").alias("__lo"), F.max(column).cast("double").alias("__hi"))
     h = histogram(df, bins, keys, column)
     w = Window.partitionBy(*keys)
     cdf = h.select(*keys, "bin", (F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)).alias("c"))
     cdf = cdf.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "c"))), lambda s: s["c"]).alias("__cdf"))
-    got = df.join(ends, list(keys)).join(cdf, list(keys))
+    got = df.join(ends, list(keys)).join(cdf, list(keys), "left")
     width = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0) / bins
     at = (F.col(column) - F.col("__lo")) / width - 0.5
     k = F.greatest(F.lit(0), F.least(F.lit(bins - 2), F.floor(at))).cast("int")
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - k))
     low, high = F.element_at("__cdf", k + 1), F.element_at("__cdf", k + 2)
-    return got.withColumn(out, low + (high - low) * part).drop("__lo", "__hi", "__cdf")
+    return got.withColumn(out, F.when(F.col(column).isNotNull(), low + (high - low) * part)).drop("__lo", "__hi", "__cdf")
 
 
 def clahe(df: DataFrame, clip_limit: float = 0.03, bins: int = 256, tiles: int = 8, keys: Sequence[str] = KEYS, column: str = "v", out: str = "v") -> DataFrame:
     """Contrast-limited adaptive equalisation of values in 0..1 (Zuiderveld 1994).
 
     Each of tiles x tiles tiles has a histogram cut at max(1, clip_limit * pixels), the excess dealt evenly; a pixel
-    blends the cumulative shares of the four nearest tile centres."""
+    blends the cumulative shares of the four nearest tile centres. Pixels between the same four centres are a cell; a
+    table of a row a cell and bin holds the four shares, so a pixel meets it by one equi-join. A missing pixel stays so."""
     size = df.groupBy(*keys).agg((F.max("y") + 1).alias("__H"), (F.max("x") + 1).alias("__W"))
-    th, tw = F.ceil(F.col("__H") / tiles), F.ceil(F.col("__W") / tiles)
-    got = df.join(size, list(keys)).withColumns({"__th": th, "__tw": tw, "__bin": F.least(F.lit(bins - 1), F.floor(F.col(column) * bins)).cast("int")})
-    h = got.groupBy(*keys, F.expr("y div __th").alias("ty"), F.expr("x div __tw").alias("tx"), "__bin").agg(F.count(F.lit(1)).alias("n"))
-    tile = Window.partitionBy(*keys, "ty", "tx")
-    h = h.withColumn("all", F.sum("n").over(tile)).withColumn("cut", F.greatest(F.lit(1.0), F.lit(clip_limit) * F.col("all")))
-    kept = F.least(F.col("n").cast("double"), F.col("cut"))
-    h = h.withColumns({"kept": kept}).withColumn("extra", F.sum(F.col("n") - F.col("kept")).over(tile) / bins)
-    # Bins without pixels hold only their share of the excess, so the running sum is that of the bins there are.
-    up = tile.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.select(*keys, "ty", "tx", F.struct(F.col("__bin").alias("b"), F.sum("kept").over(up).alias("s"), "extra", "all").alias("e"))
-    luts = h.groupBy(*keys, "ty", "tx").agg(F.sort_array(F.collect_list("e")).alias("lut"))
+    size = size.withColumns({"__th": F.ceil(F.col("__H") / tiles), "__tw": F.ceil(F.col("__W") / tiles)})
+    size = size.withColumns({"__ly": F.expr("(__H - 1) div __th"), "__lx": F.expr("(__W - 1) div __tw")}).drop("__H", "__W")
     fy, fx = (F.col("y") + 0.5) / F.col("__th") - 0.5, (F.col("x") + 0.5) / F.col("__tw") - 0.5
-    last_y, last_x = F.expr("(__H - 1) div __th"), F.expr("(__W - 1) div __tw")
-    inside = lambda f, last: F.greatest(F.lit(0), F.least(last, f)).cast("long")
-    total = F.lit(0.0)
-    for i, (dy, dx) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)]):
-        wy, wx = fy - F.floor(fy), fx - F.floor(fx)
-        got = got.withColumns({f"__ty{i}": inside(F.floor(fy) + dy, last_y), f"__tx{i}": inside(F.floor(fx) + dx, last_x)})
-        here = luts.select(*[F.col(k).alias(f"__{k}{i}") for k in keys], F.col("ty").alias(f"__a{i}"), F.col("tx").alias(f"__b{i}"), F.col("lut").alias(f"__lut{i}"))
-        on = [F.col(k) == F.col(f"__{k}{i}") for k in keys] + [F.col(f"__ty{i}") == F.col(f"__a{i}"), F.col(f"__tx{i}") == F.col(f"__b{i}")]
-        got = got.join(here, on)
-        below = F.expr(f"coalesce(try_element_at(filter(__lut{i}, e -> e.b <= __bin), -1).s, 0D)")
-        share = (below + F.col(f"__lut{i}")[0]["extra"] * (F.col("__bin") + 1)) / F.col(f"__lut{i}")[0]["all"]
-        total = total + share * (wy if dy else 1 - wy) * (wx if dx else 1 - wx)
-    return got.withColumn(out, F.least(F.lit(1.0), total)).select(*[c for c in df.columns if c != out], out)
+    got = df.join(size, list(keys)).withColumn("__bin", F.when(F.col(column).isNotNull(), F.least(F.lit(bins - 1), F.floor(F.col(column) * bins))).cast("int"))
+    h = got.where("__bin is not null").groupBy(*keys, F.expr("y div __th").alias("__ty"), F.expr("x div __tw").alias("__tx"), "__bin").agg(F.count(F.lit(1)).alias("n"))
+    tile = Window.partitionBy(*keys, "__ty", "__tx")
+    every = h.select(*keys, "__ty", "__tx").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("__bin"))
+    h = every.join(h, [*keys, "__ty", "__tx", "__bin"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("all", F.sum("n").over(tile))
+    kept = F.least(F.col("n").cast("double"), F.greatest(F.lit(1.0), F.lit(clip_limit) * F.col("all")))
+    h = h.withColumn("kept", kept).withColumn("extra", F.sum(F.col("n") - F.col("kept")).over(tile) / bins)
+    up = F.sum("kept").over(tile.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
+    shares = h.select(*keys, "__ty", "__tx", "__bin", ((up + F.col("extra") * (F.col("__bin") + 1)) / F.col("all")).alias("share"))
+    span = lambda last: F.explode(F.sequence(F.lit(-1).cast("long"), F.col(last)))
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i // 2).alias("dy"), F.lit(i % 2).alias("dx")) for i in range(4)]))
+    cells = size.select(*keys, "__ly", "__lx", span("__ly").alias("__cy")).select("*", span("__lx").alias("__cx")).select("*", corner.alias("c"))
+    inside = lambda c, last: F.greatest(F.lit(0), F.least(F.col(last), c))
+    cells = cells.select(*keys, "__cy", "__cx", "c.i", inside(F.col("__cy") + F.col("c.dy"), "__ly").alias("__ty"), inside(F.col("__cx") + F.col("c.dx"), "__lx").alias("__tx"))
+    four = cells.join(shares, [*keys, "__ty", "__tx"]).groupBy(*keys, "__cy", "__cx", "__bin").agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("share"))), F.lit(0.0)).alias(f"__s{i}") for i in range(4)])
+    got = got.withColumns({"__cy": F.floor(fy), "__cx": F.floor(fx), "__wy": fy - F.floor(fy), "__wx": fx - F.floor(fx)}).join(four, [*keys, "__cy", "__cx", "__bin"], "left")
+    wy, wx = F.col("__wy"), F.col("__wx")
+    total = F.col("__s0") * (1 - wy) * (1 - wx) + F.col("__s1") * (1 - wy) * wx + F.col("__s2") * wy * (1 - wx) + F.col("__s3") * wy * wx
+    return got.withColumn(out, F.when(F.col("__bin").isNotNull(), F.least(F.lit(1.0), total))).select(*[c for c in df.columns if c != out], out)
 
 
 def masked_summary(index: Column, df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.point import quantise
+from ..functions.point import quantise, to_byte, valid
 from .neighborhood import KEYS, in_strips
 
 #: Fixed values: (row, column) steps by angle.
@@ -26,12 +26,13 @@ def _offset(distance: int, angle: int) -> tuple[int, int]:
 
 
 def glcm(df: DataFrame, distance: int = 1, angle: int = 0, levels: int = 8, symmetric: bool = True, normed: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys, i, j, p of the level pairs that occur (p: share, or count if not normed); no padding.
+    """keys, i, j, p of the level pairs that occur (p: share, or count if not normed); no padding, and no pairs of
+    missing pixels.
 
     A pixel meets its partner by one equi-join on the shifted position; pairs are counted before the counts are
     dealt out, so an image is at most levels * levels rows a task."""
     dy, dx = _offset(distance, angle)
-    q = df.select(*keys, "y", "x", quantise("v", levels).alias("i"))
+    q = df.select(*keys, "y", "x", quantise("v", levels).alias("i")).where("i is not null")
     there = q.select(*keys, (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("i").alias("j"))
     n = q.join(there, [*keys, "y", "x"]).groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("p"))
     if symmetric:
@@ -66,7 +67,9 @@ def glcm_features(df: DataFrame, distance: int = 1, angle: int = 0, levels: int
 
 
 def window_features(q: np.ndarray, window: int, levels: int, offset: tuple[int, int], feature: str) -> np.ndarray:
-    """The feature of the symmetric normed table of every window of a padded level image, one pair of levels at a time."""
+    """The feature of the symmetric normed table of every window of a padded level image, one pair of levels at a time.
+
+    Pixels of level -1 are missing and form no pairs; a window without pairs is NaN."""
     dy, dx = offset
     h, w = q.shape
     a = q[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
@@ -79,10 +82,11 @@ def window_features(q: np.ndarray, window: int, levels: int, offset: tuple[int,
         c = np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
         return c[wy:, wx:] - c[:-wy, wx:] - c[wy:, :-wx] + c[:-wy, :-wx]
 
-    total = 2.0 * wy * wx
-    out = np.zeros((a.shape[0] - wy + 1, a.shape[1] - wx + 1))
+    n = 2.0 * boxes(((a >= 0) & (b >= 0)).astype(np.int64))
+    total = np.where(n > 0, n, np.nan)
+    out = np.where(n > 0, 0.0, np.nan)
     m1, m2, mij = out.copy(), out.copy(), out.copy()
-    present = np.unique(q)
+    present = np.unique(q[q >= 0])
     for i in present:
         for j in present:
             p = (boxes(((a == i) & (b == j)).astype(np.int64)) + boxes(((a == j) & (b == i)).astype(np.int64))) / total
@@ -95,7 +99,7 @@ def window_features(q: np.ndarray, window: int, levels: int, offset: tuple[int,
             elif feature == "energy":
                 out += p * p
             elif feature == "entropy":
-                out -= np.where(p > 0, p * np.log2(np.where(p > 0, p, 1.0)), 0.0)
+                out -= p * np.log2(np.where(p > 0, p, 1.0))
             else:
                 m1 += p * i
                 m2 += p * i * i
@@ -104,7 +108,7 @@ def window_features(q: np.ndarray, window: int, levels: int, offset: tuple[int,
         return np.sqrt(out)
     if feature == "correlation":
         var = np.maximum(m2 - m1 * m1, 0.0)
-        return np.where(var > 1e-12, (mij - m1 * m1) / np.where(var > 1e-12, var, 1.0), 1.0)
+        return np.where(var > 1e-12, (mij - m1 * m1) / np.where(var > 1e-12, var, 1.0), np.where(n > 0, 1.0, np.nan))
     return out
 
 
@@ -118,12 +122,12 @@ def texture_map(df: DataFrame, feature: str = "contrast", window: int = 15, leve
     offset, r = _offset(distance, angle), window // 2
     size = df.groupBy(*keys).agg(F.max("y").alias("__last"))
     cut = in_strips(df.select(*keys, "y", "x", quantise("v", levels).alias("q")), r, keys).join(size, list(keys))
-    schema = df.select(*keys, "y", "x", F.lit(0.0).alias("v")).schema
+    schema = df.select(*keys, "y", "x", F.lit(None).cast("double").alias("v")).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, y1 = int(pdf["y"].min()), int(pdf["y"].max())
-        q = np.zeros((y1 - y0 + 1, int(pdf["x"].max()) + 1), np.int64)
-        q[pdf["y"] - y0, pdf["x"]] = pdf["q"]
+        q = np.full((y1 - y0 + 1, int(pdf["x"].max()) + 1), -1, np.int64)
+        q[pdf["y"] - y0, pdf["x"]] = pdf["q"].fillna(-1)
         own = pdf.loc[pdf["__own"], "y"]
         first, last = int(own.min()), int(own.max())
         above, below = max(0, r - (first - y0)), max(0, r - (y1 - last))
@@ -135,6 +139,7 @@ def texture_map(df: DataFrame, feature: str = "contrast", window: int = 15, leve
         return out.assign(y=ys.ravel().astype("int32"), x=xs.ravel().astype("int32"), v=v.ravel())
 
     got = cut.groupBy(*keys, "__s").applyInPandas(lambda pdf: run(pdf) if pdf["__own"].any() else pd.DataFrame(columns=schema.names), schema)
+    got = got.withColumn("v", valid("v"))
     peak = got.groupBy(*keys).agg(F.max("v").alias("__peak"))
     byte = F.when(F.col("__peak") > 0, F.col("v") / F.when(F.col("__peak") > 0, F.col("__peak")) * 255.0).otherwise(F.col("v"))
-    return got.join(peak, list(keys)).withColumn("byte", F.greatest(F.lit(0.0), F.least(F.lit(255.0), byte)).cast("int")).drop("__peak")
+    return got.join(peak, list(keys)).withColumn("byte", to_byte(byte)).drop("__peak")

@@ -188,6 +188,8 @@ def test_stretch_histogram_and_missing_pixels(spark):
     eq = back(op.equalised(frame(spark, np.arange(64.0).reshape(8, 8))))
     assert eq[7, 7] == 1 and (np.diff(eq.ravel()) >= 0).all()
     c = back(op.clahe(frame(spark, np.random.default_rng(1).random((32, 32)))))
+    gone = frame(spark, np.random.default_rng(1).random((32, 32))).withColumn("v", F.when(F.expr("y < 5 or x = 9"), None).otherwise(F.col("v")))
+    assert op.clahe(gone).where("v is null").count() == gone.where("v is null").count() == 5 * 32 + 27
     assert 0 <= c.min() and c.max() <= 1
     assert stats.masked_summary(pt.ndvi("v", "v", zero="null"), flat).first()["max"] == 0
 
@@ -254,6 +256,9 @@ def test_keypoints(spark, strip):
         assert r.bits == [int(at(*q[:2]) < at(*q[2:])) for q in p]
     assert op.fast_corners(frame(spark, a[:6, :6])).count() == 0 and op.harris_corners(frame(spark, np.full((9, 9), 4.0))).count() == 0
     assert op.drawn(df, op.fast_corners(df)).where("r = 255 and g = 0").count() > 0
+    one = spark.createDataFrame([("a", 20, 20, float(np.pi / 4))], "image_id string, y int, x int, theta double")
+    red = {(r.y, r.x) for r in op.drawn(df, one).where("r = 255 and g = 0").collect()}
+    assert {(20 + i, 20 + i) for i in range(5)} <= red and (26, 26) not in red
 
 
 def test_kmeans(spark):
@@ -299,3 +304,22 @@ def test_missing_and_repeated_pixels(spark, noise):
     p = np.pad(np.where(np.add.outer(range(17), range(13)) % 2 == 0, noise, np.nan), 1, mode="reflect")
     there = [[sorted(v for v in p[y : y + 3, x : x + 3].ravel() if v == v) for x in range(13)] for y in range(17)]
     assert all(got[y, x] == there[y][x][(len(there[y][x]) - 1) // 2] for y in range(17) for x in range(13))
+
+
+def test_missing_pixels_stay_missing(spark):
+    a = np.random.default_rng(2).integers(0, 256, (12, 14)).astype(float)
+    gone = frame(spark, a).withColumn("v", F.when(F.expr("y = 4 and x in (3, 9)"), None).otherwise(F.col("v")))
+    assert gone.select(pt.quantise("v", 8).alias("q")).where("q is null").count() == 2
+    assert [(r.y, r.x) for r in op.equalised(gone).where("v is null").orderBy("x").collect()] == [(4, 3), (4, 9)]
+    assert op.glcm(gone, normed=False, symmetric=False).agg(F.sum("p").alias("n")).first().n == 12 * 13 - 4
+    got = {(r.y, r.x): r.v for r in op.texture_map(gone, window=3).collect()}
+    part, q = {}, np.floor(a / 32)
+    q[4, 3] = q[4, 9] = np.nan
+    for y in range(1, 11):
+        for x in range(1, 13):
+            w = q[y - 1 : y + 2, x - 1 : x + 2]
+            part[y, x] = np.nanmean((w[:, 1:] - w[:, :-1]) ** 2)
+    assert all(abs(got[k] - v) < 1e-9 for k, v in part.items())
+    none = frame(spark, a).withColumn("v", F.lit(None).cast("double"))
+    assert op.texture_map(none, window=3).where("v is null").count() == 12 * 14 == op.equalised(none).where("v is null").count()
+    assert op.sobel(gone, threshold=10).where("byte is null").count() == op.sobel(gone).where("v is null").count()
