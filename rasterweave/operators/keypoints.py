@@ -121,9 +121,16 @@ def orb_keypoints(df: DataFrame, threshold: float = 20, n_bits: int = 256, patch
 
 
 def drawn(df: DataFrame, points: DataFrame, radius: int = 3, colour: tuple[int, int, int] = (255, 0, 0), keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys, y, x, r, g, b: the gray image with a circle around each point."""
+    """keys, y, x, r, g, b: the gray image with a circle around each point, and a ray of two radii along theta where the
+    points have one."""
     ring = sorted({(round(radius * float(np.sin(a))), round(radius * float(np.cos(a)))) for a in np.linspace(0, 2 * np.pi, 8 * radius + 1)})
     cells = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ring])).alias("o")
-    marks = points.select(*keys, "y", "x", cells).select(*keys, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct().withColumn("__on", F.lit(True))
+    marks = points.select(*keys, "y", "x", cells).select(*keys, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    if "theta" in points.columns:
+        ends = points.select(*keys, "y", "x", (2 * radius * F.cos("theta")).cast("int").alias("dx"), (2 * radius * F.sin("theta")).cast("int").alias("dy"))
+        steps = F.greatest(F.abs("dx"), F.abs("dy"))
+        along = lambda at, d: (F.col(at) + F.floor(F.col(d) * F.col("i") / F.greatest(F.lit(1), steps) + 0.5)).cast("int").alias(at)
+        marks = marks.union(ends.select("*", F.explode(F.sequence(F.lit(0), steps)).alias("i")).select(*keys, along("y", "dy"), along("x", "dx")))
+    marks = marks.distinct().withColumn("__on", F.lit(True))
     got = df.select(*keys, "y", "x", "v").join(marks, [*keys, "y", "x"], "left")
     return got.select(*keys, "y", "x", *[F.when(F.col("__on"), c).otherwise(F.col("v").cast("int")).alias(n) for n, c in zip("rgb", colour, strict=True)])

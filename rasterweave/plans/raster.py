@@ -20,6 +20,7 @@ from ..operators.neighborhood import in_strips, own_rows
 from ..operators.segmentation import nearest
 from ..operators.texture import ANGLES
 from ..sources import raster as src
+from ..storage import scratch
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,9 +93,23 @@ def _(spark, d):
     return yx(op.binary(fx.scene_gray(spark, d)), v=pt.to_unit("fg"))
 
 
-@query("k1_png")
+@query("k1_png", sql.gray(select="select 1 as band, y, x, v::double as v from g"))
 def _(spark, d):
-    return src.to_png(fx.scene_gray(spark, d)).select("image_id", F.length("content").cast("long").alias("n_bytes"))
+    """Written as a file and read again."""
+    at = scratch(spark, "png")
+    src.write_scenes(src.to_png(fx.scene_gray(spark, d)), at, ".png")
+    return src.read_images(spark, at).select("band", "y", "x", "v")
+
+
+@query("s5_extracted_bands", f"with {MULTI}, s as (select band, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from ml group by band) select band, y, x, v::double as v, trunc(least(1, greatest(0, (v - lo) / (hi - lo + 1e-9))) * 255)::double as preview from ml join s using (band)")
+def _(spark, d):
+    """A file and a preview a band, written and read again."""
+    at = scratch(spark, "bands")
+    px = fx.scene_long(spark, d).withColumn("image_id", F.lit("scene")).withColumn("v", F.col("v").cast("double"))
+    src.extract_bands(px, at, "uint8")
+    number = F.regexp_extract("image_id", r"band_(\d+)\.", 1).cast("int").alias("band")
+    files = src.read_raster(spark, at).select(number, "y", "x", "v")
+    return files.join(src.read_images(spark, f"{at}/*/*.png").select(number, "y", "x", F.col("v").alias("preview")), ["band", "y", "x"])
 
 
 @query("k5_panels", f"with {GRAY}, s as (select quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi, min(v) as a, max(v) as b from g) select p as panel, count(*) as n, round(sum(v), 3) as total from (select 'linear' as p, least(1, greatest(0, (v - a) / (b - a + 1e-9))) as v from g, s union all select 'percentile', least(1, greatest(0, (v - lo) / (hi - lo + 1e-9))) from g, s) group by p")
@@ -177,6 +192,11 @@ def _(spark, d):
     return got.select("y", "x", "c.r", "c.g", "c.b")
 
 
+@query("k1_shaded", sql.gray("t as (select y, x, least(1, greatest(0, (v - 50) / 150.0::double)) as u from g)", select=f"select y, x, {_ramp_sql(0)} as r, {_ramp_sql(1)} as g, {_ramp_sql(2)} as b from t"))
+def _(spark, d):
+    return src.shaded(fx.scene_gray(spark, d), 50, 200, pt.RAMP).select("y", "x", "r", "g", "b")
+
+
 @query("p12_quantise", sql.gray(select="select y, x, greatest(0, least(7, v * 8 // 256))::int as v from g"))
 def _(spark, d):
     return yx(fx.scene_gray(spark, d), v=pt.quantise("v", 8))
@@ -287,9 +307,24 @@ def _(spark, d):
     return yx(op.equalised(fx.scene_gray(spark, d)), v=r6("v"))
 
 
-@query("a8_clahe")
+def _clahe_sql() -> str:
+    """Shares of each tile and bin, and of each pixel's four nearest tiles by a join on tile and bin."""
+    corners = ", ".join(f"({dy}, {dx})" for dy in (0, 1) for dx in (0, 1))
+    return sql.gray(
+        "s as (select quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from g)", "dm as (select ceil((max(y) + 1) / 8.0::double)::int as th, max(y) as my from g)",
+        "u as (select y, x, least(1, greatest(0, (v - lo) / (hi - lo + 1e-9))) as v from g, s)",
+        "b as materialized (select y, x, least(255, floor(v * 256))::int as bin, y // th as ty, x // 8 as tx, (y + 0.5::double) / th - 0.5::double as fy, (x + 0.5::double) / 8 - 0.5::double as fx from u, dm)",
+        "h as (select t.ty, t.tx, i.bin::int as bin, coalesce(n, 0) as n from (select distinct ty, tx from b) t cross join range(256) i(bin) left join (select ty, tx, bin, count(*) as n from b group by all) c on c.ty = t.ty and c.tx = t.tx and c.bin = i.bin)",
+        "a as (select *, sum(n) over w as total, least(n::double, greatest(1.0::double, 0.03::double * sum(n) over w)) as kept from h window w as (partition by ty, tx))",
+        "l as materialized (select ty, tx, bin, (sum(kept) over (partition by ty, tx order by bin) + sum(n - kept) over (partition by ty, tx) / 256 * (bin + 1)) / total as share from a)",
+        f"k as (select y, x, bin, greatest(0, least(my // th, floor(fy)::int + dy)) as ty, greatest(0, least(7, floor(fx)::int + dx)) as tx, case when dy = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end * case when dx = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end as w from b cross join dm cross join (values {corners}) o(dy, dx))",
+        select="select y, x, round(least(1, sum(w * share)) + 1e-9::double, 6) as v from k join l using (ty, tx, bin) group by y, x",
+    )
+
+
+@query("a8_clahe", _clahe_sql())
 def _(spark, d):
-    return yx(op.clahe(op.percentile_stretch(fx.scene_gray(spark, d))), v=r6("v"))
+    return yx(op.clahe(op.percentile_stretch(fx.scene_gray(spark, d))), v=r6(F.col("v") + 1e-9))  # shares of a power of two lie between two roundings
 
 
 @query("a9_peak", f"with {CHIPS} select image_id, max(v) as peak from c group by image_id")
@@ -592,6 +627,16 @@ def _(spark, d):
     return op.drawn(g, op.fast_corners(g)).select("y", "x", "r", "g", "b")
 
 
+@query("d6_rays", sql.gray(
+    _ORB.split("pt as (")[0].rstrip(",\n "), "tp as (select y, x, trunc(6 * cos(t))::int as dx, trunc(6 * sin(t))::int as dy from th)",
+    "ry as (select y + floor(dy * i / greatest(1, abs(dy), abs(dx))::double + 0.5)::int as y, x + floor(dx * i / greatest(1, abs(dy), abs(dx))::double + 0.5)::int as x from tp cross join range(7) r(i) where i <= greatest(abs(dy), abs(dx)))",
+    f"mk as (select th.y + dy as y, th.x + dx as x from th cross join (values {', '.join(map(str, _RING))}) t(dy, dx) union select y, x from ry)",
+    select="select g.y, g.x, " + ", ".join(f"case when mk.y is null then g.v else {c} end::int as {n}" for n, c in (("r", 255), ("g", 0), ("b", 0))) + " from g left join mk on mk.y = g.y and mk.x = g.x"))
+def _(spark, d):
+    g = fx.scene_gray(spark, d)
+    return op.drawn(g, op.orb_keypoints(g, n_bits=8)).select("y", "x", "r", "g", "b")
+
+
 # Single steps of the operators above -------------------------------------------------------------------------------
 
 

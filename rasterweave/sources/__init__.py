@@ -1,3 +1,3 @@
 """Scenes in and out."""
 
-from .raster import describe, features, read_band, read_raster, to_gray, to_png, to_tiff, write_bands  # noqa: F401
+from .raster import as_band, describe, extract_bands, features, read_band, read_images, read_raster, shaded, to_gray, to_png, to_tiff, with_profile, write_bands, write_scenes  # noqa: F401

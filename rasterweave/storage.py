@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, kept in spark.checkpoint.dir; a local folder is used only where the session names none and all runs on this machine."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder is used only where the session names none and all runs on this machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(at or tempfile.mkdtemp(prefix="rasterweave-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's address in the shared folder."""
+    at = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    return re.sub(r"^file:/+", "file:///", at)

@@ -156,3 +156,47 @@ def test_scenes_written_as_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one_b1.tif", "one_b2.tif"] and len(names) == 2
     back = sources.read_raster(spark, f"{tmp_path}/out")
     assert back.count() == 24 and back.where("image_id like '%b2.tif' and y = 2 and x = 3").first().v == 13.0
+
+
+def test_images_of_any_kind(spark, tmp_path):
+    gray, colour = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20, np.arange(36, dtype=np.uint8).reshape(3, 4, 3) * 7
+    (tmp_path / "g.png").write_bytes(tiff.png(gray))
+    (tmp_path / "c.png").write_bytes(tiff.png(colour))
+    got = {(r.image_id.rsplit("/", 1)[1], r.band, r.y, r.x): r.v for r in sources.read_images(spark, str(tmp_path)).collect()}
+    assert len(got) == 12 + 36 and all(got["g.png", 1, y, x] == gray[y, x] for y in range(3) for x in range(4))
+    assert all(got["c.png", b + 1, y, x] == colour[y, x, b] for b in range(3) for y in range(3) for x in range(4))
+    (tmp_path / "no.png").write_bytes(b"text")
+    with pytest.raises(Exception, match="no image"):
+        sources.read_images(spark, str(tmp_path)).count()
+
+
+def test_a_band_has_a_value_a_position(spark):
+    df = spark.createDataFrame([("a", 1, 0, 0, 5)], "image_id string, band int, y int, x int, v int")
+    with pytest.raises(ValueError):
+        sources.as_band(df)
+    with pytest.raises(ValueError):
+        sources.as_band(df.drop("band", "x"))
+    assert sources.as_band(df.drop("band")).first().v == 5.0
+    with pytest.raises(ValueError):
+        pt.index_image("v", "jet")
+    assert df.select(pt.index_image(F.col("v") - 5, "veg").alias("c")).first().c == (230, 220, 120)
+
+
+def test_extracted_bands_keep_the_profile(spark, tmp_path):
+    a = np.arange(24).reshape(2, 3, 4).astype("int16")
+    a[0, 0, 0] = -9
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.tif").write_bytes(tiff.encode(a, (30.0, 0, 7.0, 0, -30.0, 90.0), 32630, -9))
+    px = sources.read_raster(spark, str(tmp_path / "in"), mask_nodata=True)
+    names = sources.extract_bands(px, f"file://{tmp_path}/out", "int16", sources.describe(spark, str(tmp_path / "in")))
+    assert sorted(n.split("/out/")[1] for n in names) == [f"one.tif/band_0{b}.{k}" for b in (1, 2) for k in ("png", "tif")]
+    back, info = tiff.decode((tmp_path / "out/one.tif/band_01.tif").read_bytes())
+    assert (back[0] == a[0]).all() and info["nodata"] == -9 and info["epsg"] == 32630 and info["affine"] == (30.0, 0.0, 7.0, 0.0, -30.0, 90.0)
+    shown = {(r.y, r.x): r.v for r in sources.read_images(spark, f"{tmp_path}/out/one.tif/band_02.png").collect()}
+    assert shown[0, 0] == 0 and shown[2, 3] >= 254 and len(shown) == 12
+
+
+def test_shaded(spark):
+    df = spark.createDataFrame([("a", 0, x, v) for x, v in enumerate([10.0, 20.0, 30.0, None])], "image_id string, y int, x int, v double")
+    assert [r.v for r in sources.shaded(df).orderBy("x").collect()][::3] == [0, 0] and sources.shaded(df, 10, 20).where("x = 2").first().v == 255
+    assert sources.shaded(df, 10, 30, pt.RAMP).where("x = 1").select("r", "g", "b").first() == pt.RAMP[1][1]
