@@ -526,7 +526,11 @@ def _(spark, d):
     return yx(op.distance_transform(mask(spark, d)).where("fg"), distance=r6("distance"))
 
 
-@query("i7_markers")
+@query("i7_markers", sql.gray(
+    OTSU, "f0 as materialized (select y, x, v > t as fg from g, ot)", *[sql.morph(f"s{i}", f"s{i - 1}" if i else "f0", offsets(SQ), "dilate") for i in range(3)],
+    "ds as materialized (select a.y, a.x, min(greatest(abs(a.y - b.y), abs(a.x - b.x)) + (sqrt(2::double) - 1) * least(abs(a.y - b.y), abs(a.x - b.x))) as d from f0 a join f0 b on not b.fg and b.y between a.y - 12 and a.y + 12 group by a.y, a.x)",
+    "fg as materialized (select y, x, round(d, 9) >= round(p * 0.5::double, 9) and p > 0 as fg from ds, (select max(d) as p from ds))", sql.COMPONENTS,
+    select="select s2.y, s2.x, case when s2.fg and not fg.fg then 0 else coalesce(label, 0) + 1 end::int as marker from s2 join fg using (y, x) left join lab using (y, x)", recursive=True))
 def _(spark, d):
     return op.generate_markers(fx.scene_gray(spark, d)).select("y", "x", "marker")
 
