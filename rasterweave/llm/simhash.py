@@ -11,10 +11,11 @@ it has fingerprints. Copies share one fingerprint and are one row from the start
 split by the ball of radius one around the 16-bit quarters of the other half (two texts that share a half up to a bit
 have a quarter of the other half within a bit), which leaves 16 free bits a bucket.
 
-near_copies() is for texts with a similarity of 0.8 or more in five-word shingles, whose 64-bit fingerprints differ in
-some ten bits. Its nodes are the distinct shingle sets. Each has 128 minima under mixings of the hashes, in 32 bands of
-four, and two nodes meet if a band is equal: whichever words differ, only the similarity counts, and a pair at 0.8 is
-missed with a chance of 5e-8. Pairs that meet are linked if their shingle sets themselves are alike to 0.8 or more.
+near_copies() is for texts with a similarity of 0.8 or more in five-word shingles. Two such fingerprints differ in 15 of
+100 bits, whichever words differ, so three of 64 bits don't find them. There the same fingerprint has 2048 bits and the
+same multi-index has TABLES tables instead of two: each is over 24 or more of the bits, two texts meet if those are
+equal, and a pair at 0.8 is missed by all with a chance of 2e-5. Its nodes are the distinct shingle sets. Pairs that
+meet are verified by their complete distances, and linked if their shingle sets themselves are alike to 0.8 or more.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 repeated rows (same id or same text) each get their row; a null id is ignored when the smallest id of a component is
@@ -25,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -33,19 +35,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, dropped, joined, quoted, table
+from .common import checkpointed, col, dropped, joined, quoted, table, tidy
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 #: For near copies: words of a shingle (the distance is not used: they are told by their similarity).
 WIDE_SHINGLE, WIDE_DISTANCE = 5, 50
-#: Bands of so many minima each: at a similarity of 0.8 a pair shares none with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
-BANDS, BAND = 32, 4
+#: Bits of a wide fingerprint, and tables over some of them each: with 24 bits a pair at a similarity of 0.8, which differs
+#: in 15.15 % of the bits, meets in none with a chance of 2e-5.
+WIDE_BITS, TABLES = 2048, 720
+#: Bits of a table for up to 2 ** 15 nodes; each doubling takes a bit more, and tables in proportion to the chance of a bit.
+TABLE_BITS, AGREE = 24, 0.8485
 #: The least similarity of near copies, as a fraction.
 SIMILARITY = (4, 5)
-#: Equal minima of 128 below which a pair is not at 0.8 (on average 102, deviation 4.5).
-LEAST = 76
-MIX = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, BANDS * BAND), np.uint64) | np.uint64(1)
+#: Differing bits of 2048 above which a pair is not at 0.8 (on average 310, deviation 16).
+MOST = 430
+#: Entries of the tables that are dealt out at once take about so many bytes a pass, if that is no more than PASSES.
+PASS_BYTES, PASSES, GROUP_ROWS = 200_000_000, 6, 2_000_000
+MIX = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, WIDE_BITS // 64), np.uint64) | np.uint64(1)
 BUCKET = 4096
 #: Rows of a bucket that are compared in one task take at most about so many bytes.
 GROUP_BYTES = 32_000_000
@@ -146,38 +153,111 @@ def shingle_hashes(text: bytes | None, size: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of the hashes under each of BANDS * BAND mixings; equal in two sets as often as they are similar."""
-    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, ((hashes[at : at + 1024, None] ^ MIX[0]) * MIX[1]).min(0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of WIDE_BITS bits of a set of shingle hashes: a bit is 1 if set in over half of the mixed hashes."""
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), 255):
+        x = (hashes[at : at + 255, None] ^ MIX[0]) * MIX[1]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)
+
+
+@cache
+def tables_for(n: int) -> tuple[int, int]:
+    """(tables, bits of each) for n nodes: unlike texts hardly meet, and a pair at 0.8 meets as surely for any n."""
+    bits = min(32, TABLE_BITS + max(0, (max(n, 1) - 1).bit_length() - 15))
+    return round(TABLES / AGREE ** (bits - TABLE_BITS)), bits
+
+
+@cache
+def _places(tables: int, bits: int) -> np.ndarray:
+    """The bits of each table, and places of no bit up to 32."""
+    r = np.random.Generator(np.random.PCG64(SEED + bits))
+    own = np.full((tables, 32), WIDE_BITS)
+    for row in own:
+        row[:bits] = r.choice(WIDE_BITS, bits, replace=False)
+    return own
+
+
+def table_keys(sigs: np.ndarray, tables: int, bits: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The keys of fingerprints (a row each) in the tables from first to before last."""
+    at = _places(tables, bits)[first:last]
+    out = np.empty((len(sigs), len(at)), np.uint32)
+    for k in range(0, len(sigs), 256):
+        one = np.unpackbits(np.ascontiguousarray(sigs[k : k + 256]).view(np.uint8), axis=1, bitorder="little")
+        one = np.concatenate([one, np.zeros((len(one), 1), np.uint8)], axis=1)
+        out[k : k + 256] = np.ascontiguousarray(np.packbits(one.take(at.ravel(), 1), axis=1, bitorder="little")).view(np.uint32)
+    return out
+
+
+def _sigs(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE_BITS // 64)
 
 
 def wide_rows(docs: DataFrame, text: str, size: int = WIDE_SHINGLE) -> DataFrame:
-    """docs with the column `text` replaced by fp, a hash of the shingle set, and sig, its minima."""
+    """docs with the column `text` replaced by fp, a hash of the shingle set, and sig, its wide fingerprint."""
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest, F.lit(0).cast("long").alias("fp"), F.lit(None).cast("array<int>").alias("sig")).schema
+    schema = docs.select(*rest, F.lit(0).cast("long").alias("fp"), F.lit(None).cast("array<long>").alias("sig")).schema
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sets = [shingle_hashes(t.as_py(), size) for t in batch.column(text).cast(pa.binary())]
             fp = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            sig = np.concatenate([minima(h) for h in sets]) if sets else np.zeros(0, np.int32)
-            sig = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * BAND * len(sets) + 1, BANDS * BAND), pa.int32()), pa.array(sig))
+            sig = np.concatenate([wide_fingerprint(h) for h in sets]) if sets else np.zeros(0, np.int64)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, WIDE_BITS // 64), pa.int32()), pa.array(sig))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(fp), sig], names=[*rest, "fp", "sig"])
 
     return docs.mapInArrow(batches, schema)
 
 
-def wide_buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, n): the bands in which n > 1 rows of reps (fp, sig) meet, key a hash with the band's number in its low
-    bits. And (fp, share): how many rows a row meets in all its bands. The text that copies were made of shares most."""
-    keys = f"transform(sequence(0, {BANDS - 1}), i -> (xxhash64(i, slice(sig, {BAND} * i + 1, {BAND})) & {-BANDS}L) | i)"
-    entries = reps.select("fp", F.explode(F.expr(keys)).alias("key"))
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = checkpointed(entries.join(sizes, "key").select("key", "fp", "n"))
-    return met, checkpointed(met.groupBy("fp").agg(F.sum("n").alias("share")))
+def met_in_tables(reps: DataFrame, tables: int, bits: int, first: int, last: int, parts: int) -> DataFrame:
+    """(key, fp, other, n): the buckets of n > 1 nodes in the tables from first to before last; one row of a bucket of two
+    nodes, and else a row a node, where other is null. key has the table's number in its low 12 bits.
+
+    Entries travel as packed arrays, a row a table and batch, and a group of them (a table, or a part of its keys) is
+    sorted at once."""
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not len(batch):
+                continue
+            ids, keys = batch.column(0).to_numpy(), table_keys(_sigs(batch.column(1)), tables, bits, first, last)
+            rows = []
+            for j, own in enumerate(np.ascontiguousarray(keys.T)):
+                for part in range(parts):
+                    here = slice(None) if parts == 1 else own % parts == part
+                    rows.append((first + j, part, own[here].tobytes(), ids[here].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["t", "part", "keys", "fps"])
+
+    def grouped(group: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32)
+        fps = np.frombuffer(b"".join(group.column("fps").to_pylist()), np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, fps = keys[order], fps[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(keys)])
+        twos, n = starts[sizes == 2], np.repeat(sizes, sizes)
+        more = np.flatnonzero(n > 2)
+        key = keys[np.r_[twos, more]].astype(np.int64) << 12 | group.column("t")[0].as_py()
+        fp = np.r_[np.minimum(fps[twos], fps[twos + 1]), fps[more]]
+        other = pa.concat_arrays([pa.array(np.maximum(fps[twos], fps[twos + 1])), pa.nulls(len(more), pa.int64())])
+        return pa.table([pa.array(key), pa.array(fp), other, pa.array(n[np.r_[twos, more]].astype(np.int64))], names=["key", "fp", "other", "n"])
+
+    entries = reps.select("fp", "sig").mapInArrow(packed, "t int, part int, keys binary, fps binary")
+    return checkpointed(entries.groupBy("t", "part").applyInArrow(grouped, "key long, fp long, other long, n long"))
+
+
+def wide_buckets(reps: DataFrame, tables: int, bits: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b): the pairs that have a bucket for themselves. (key, fp, n): the buckets in which n > 2 rows of reps (fp, sig)
+    meet. And (fp, share): how many rows a row meets there. The text that copies were made of shares most."""
+    step = tables if 12 * n * tables <= PASS_BYTES else -(-tables // PASSES)
+    parts = -(-n // GROUP_ROWS) or 1
+    both = reduce(DataFrame.union, [met_in_tables(reps, tables, bits, k, min(k + step, tables), parts) for k in range(0, tables, step)])
+    met = both.where("other is null").select("key", "fp", "n")
+    return both.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")), met, checkpointed(met.groupBy("fp").agg(F.sum("n").alias("share")))
 
 
 def hub_pairs(own: DataFrame, roots: bool = False) -> DataFrame:
@@ -202,10 +282,10 @@ def mixed(met: DataFrame, share: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) with LEAST equal minima."""
+    """The distinct pairs (a, b) whose fingerprints differ in MOST bits at most."""
     own = pairs.distinct().join(reps.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
     own = own.join(reps.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
-    return own.where(f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {LEAST}").select("a", "b")
+    return own.where(f"aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {MOST}").select("a", "b")
 
 
 def sets_of(nodes: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
@@ -230,9 +310,9 @@ def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(both.where(f"{up + down} * size(array_intersect(x, y)) >= {up} * (size(x) + size(y))").select("a", "b"))
 
 
-def spanning(rows: list[tuple[int, int, np.ndarray, np.ndarray]], part: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links of SIMILARITY that, with the roots, span all such links between rows (id, root, minima, set) whose first
-    equal band is `part`; with `across` (a side of each row), between rows of different sides only."""
+def spanning(rows: list[tuple[int, int, np.ndarray, np.ndarray]], table: int, tables: int, bits: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of SIMILARITY that, with the roots, span all such links between rows (id, root, fingerprint, set) whose first
+    equal table is `table`; with `across` (a side of each row), between rows of different sides only."""
     up, down = SIMILARITY
     parent = {r: r for _, r, _, _ in rows}
 
@@ -242,14 +322,15 @@ def spanning(rows: list[tuple[int, int, np.ndarray, np.ndarray]], part: int, acr
             r = parent[r]
         return r
 
-    sigs = np.stack([x[2] for x in rows])
+    sigs = np.stack([x[2] for x in rows]).view(np.uint64)  # of signed values bitwise_count counts the absolute ones
+    keys = table_keys(sigs, tables, bits)
     out = []
-    for i, (fp, root, sig, own) in enumerate(rows[:-1]):
-        rest = i + 1 + np.nonzero((sigs[i + 1 :] == sig).sum(1) >= LEAST)[0]
+    for i, (fp, root, _, own) in enumerate(rows[:-1]):
+        rest = i + 1 + np.nonzero(np.bitwise_count(sigs[i + 1 :] ^ sigs[i]).sum(1, dtype=np.int64) <= MOST)[0]
         if across is not None:
             rest = rest[across[rest] != across[i]]
-        first = (sigs[rest].reshape(-1, BANDS, BAND) == sig.reshape(BANDS, BAND)).all(2).argmax(1)
-        for j in rest[first == part].tolist():
+        first = (keys[rest] == keys[i]).argmax(1)
+        for j in rest[first == table].tolist():
             if find(root) != find(rows[j][1]):
                 other = rows[j][3]
                 shared = len(np.intersect1d(own, other, assume_unique=True))
@@ -259,16 +340,51 @@ def spanning(rows: list[tuple[int, int, np.ndarray, np.ndarray]], part: int, acr
     return out
 
 
-def rest_links(own: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that span what hubs have not joined, of buckets of mixed(); fewer than their rows.
+def dealt(own: DataFrame, weights: DataFrame) -> DataFrame:
+    """own (key, fp, root) by groups (key, s0, s1), with the side of each row. A bucket is one group up to GROUP_BYTES of
+    the weights (fp, weight); beyond, its rows are dealt into sides and every two sides are a group."""
+    sizes = own.join(weights, "fp").groupBy("key").agg(F.ceil(F.sum("weight") / GROUP_BYTES).alias("k"))
+    own = own.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("fp"), "k"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return own.select("key", F.least("side", "o").alias("s0"), F.greatest("side", "o").alias("s1"), "fp", "root", "side")
+
+
+def close(roots: np.ndarray, sigs: np.ndarray, table: int, tables: int, bits: int, across: np.ndarray | None = None) -> np.ndarray:
+    """Which rows have one of another root (and side) within MOST bits whose first equal table is `table`."""
+    keys, out = table_keys(sigs, tables, bits), np.zeros(len(roots), bool)
+    for i in range(len(roots) - 1):
+        rest = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+        if across is not None:
+            rest = rest[across[rest] != across[i]]
+        rest = rest[np.bitwise_count(sigs[rest] ^ sigs[i]).sum(1, dtype=np.int64) <= MOST]
+        rest = rest[(keys[rest] == keys[i]).argmax(1) == table]
+        out[i] |= len(rest) > 0
+        out[rest] = True
+    return out
 
-    A bucket is one group of rows with their sets up to GROUP_BYTES; beyond, its rows are dealt into sides and every two
-    sides are a group."""
+
+def close_rows(own: DataFrame, reps: DataFrame, tables: int, bits: int) -> DataFrame:
+    """The rows (key, fp, root) of mixed() that have a row to compare with in their bucket; told by fingerprints alone."""
+    own = dealt(own.select("key", "fp", "root"), reps.select("fp", F.lit(4 * tables + 800).alias("weight"))).join(reps.select("fp", "sig"), "fp")
+    groups = own.groupBy("key", "s0", "s1").agg(F.collect_list(F.struct("fp", "root", "sig", "side")).alias("rows"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for key, s0, s1, one in zip(*batch.columns, strict=True):
+                fp, root, sig, side = one.values.flatten()
+                got = close(root.to_numpy(), _sigs(sig), key.as_py() & 4095, tables, bits, None if s0.as_py() == s1.as_py() else side.to_numpy())
+                if got.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(got.sum(), key.as_py())), fp.filter(pa.array(got)), root.filter(pa.array(got))], names=["key", "fp", "root"])
+
+    return checkpointed(groups.select("key", "s0", "s1", "rows").mapInArrow(batches, "key long, fp long, root long").distinct())
+
+
+def rest_links(own: DataFrame, reps: DataFrame, sets: DataFrame, tables: int, bits: int) -> DataFrame:
+    """(a, b): links that span what hubs have not joined, of buckets of mixed(); fewer than their rows. Only rows with
+    another within MOST bits bring their sets."""
+    own = close_rows(own, reps, tables, bits)
     nodes = sets.join(own.select("fp").distinct(), "fp").join(reps.select("fp", "sig"), "fp").select("fp", "sig", "set")
-    sizes = own.join(sets.select("fp", F.size("set").alias("size")), "fp").groupBy("key").agg(F.ceil(F.sum(8 * F.col("size") + 600) / GROUP_BYTES).alias("k"))
-    own = own.select("key", "fp", "root").join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("fp"), "k"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    own = own.withColumn("o", other).withColumns({"s0": F.least("side", "o"), "s1": F.greatest("side", "o")}).join(nodes, "fp")
+    own = dealt(own, sets.select("fp", (8 * F.size("set") + 4 * tables + 400).alias("weight"))).join(nodes, "fp")
     groups = own.groupBy("key", "s0", "s1").agg(F.collect_list(F.struct("fp", "root", "sig", "set", "side")).alias("rows"))
 
     def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +393,7 @@ def rest_links(own: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
                 f = [one.values.field(k) for k in range(5)]
                 ids, root, side = (f[k].to_numpy(zero_copy_only=False) for k in (0, 1, 4))
                 rows = [(int(a), int(b), x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for a, b, x, y in zip(ids, root, f[2], f[3], strict=True)]
-                got = spanning(rows, key.as_py() % BANDS, None if s0.as_py() == s1.as_py() else side) if len(rows) > 1 else []
+                got = spanning(rows, key.as_py() & 4095, tables, bits, None if s0.as_py() == s1.as_py() else side) if len(rows) > 1 else []
                 if got:
                     a = np.array(got, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(a.min(1)), pa.array(a.max(1))], names=["a", "b"])
@@ -288,24 +404,29 @@ def rest_links(own: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copies(rows: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> tuple[DataFrame, DataFrame]:
     """As classes(), for rows of wide_rows of texts (__id, __h, __text): (fp, id, n), and (fp, component_id) of the linked ones.
 
-    Each node is first compared with the node of its buckets that shares most, then with that of those still apart; what
-    is left apart in a bucket is compared there, and only links that span its components leave. A link is one of exact
-    shingle sets."""
-    least = (F.min("__id").alias("id"), F.min(F.struct("__id", "__h")).alias("row"))
-    reps = checkpointed(rows.groupBy("fp").agg(*least, F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
-    met, share = wide_buckets(reps)
-    sets = sets_of(share.select("fp"), reps, texts, size)
-    found = exact(alike(hub_pairs(met.join(share, "fp")), reps), sets)
-    apart = mixed(met, share, components(found))
-    found = found.union(exact(alike(hub_pairs(apart, True), reps), sets))
-    dropped(apart)
-    apart = mixed(met, share, components(found))
-    dropped(met)
-    roots = components(found.union(checkpointed(rest_links(apart, reps, sets))))
-    dropped(sets)
-    roots = checkpointed(roots.join(reps.select("fp", "id"), F.col("node") == F.col("fp")).select("fp", "id", "root"))
-    least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    return reps.select("fp", "id", "n"), roots.join(least, "root").select("fp", "component_id")
+    The pairs with a bucket for themselves are compared. In the other buckets each node is first compared with the node
+    that shares most, then with that of those still apart; what is left apart in a bucket is compared there, and only links
+    that span its components leave. A link is one of exact shingle sets."""
+    with tidy(rows.sparkSession):
+        least = (F.min("__id").alias("id"), F.min(F.struct("__id", "__h")).alias("row"))
+        reps = checkpointed(rows.groupBy("fp").agg(*least, F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
+        n = reps.count()
+        tables, bits = tables_for(n)
+        twos, met, share = wide_buckets(reps, tables, bits, n)
+        near = checkpointed(alike(twos.union(hub_pairs(met.join(share, "fp"))), reps))
+        nodes = near.select(F.col("a").alias("fp")).union(near.select("b")).union(share.select("fp"))
+        sets = sets_of(nodes, reps, texts, size)
+        found = exact(near, sets)
+        apart = mixed(met, share, components(found))
+        near = checkpointed(alike(hub_pairs(apart, True), reps))
+        found = found.union(exact(near, sets))
+        dropped(apart)
+        apart = mixed(met, share, components(found))
+        roots = components(found.union(checkpointed(rest_links(apart, reps, sets, tables, bits))))
+        dropped(sets)
+        roots = checkpointed(roots.join(reps.select("fp", "id"), F.col("node") == F.col("fp")).select("fp", "id", "root"))
+        least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+        return reps.select("fp", "id", "n"), roots.join(least, "root").select("fp", "component_id")
 
 
 def classes(rows: DataFrame, doc_id: str = "doc_id", distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:

@@ -196,3 +196,38 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, limit):
     got = simhash.deduplicated(spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA), size=simhash.WIDE_SHINGLE, wide=True)
     assert sorted(x.doc_id for x in got.collect()) == sorted(set(root))
     assert 5 <= len(set(root)) < len(texts)
+
+
+def test_wide_fingerprints_and_their_tables():
+    """The wide fingerprint is a SimHash: a majority bit by bit; pairs at 0.8 differ in 15 of 100 bits and meet in some table."""
+    r = np.random.Generator(np.random.PCG64(5))
+    for n in (0, 1, 2, 7, 300, 600):
+        h = np.unique(r.integers(0, 2**64, n, np.uint64))
+        x = (h[:, None] ^ simhash.MIX[0]) * simhash.MIX[1]
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        want = [[2 * sum(int(v) >> b & 1 for v in x[:, w]) > n for b in range(64)] for w in range(0, 32, 31)]
+        got = simhash.wide_fingerprint(h).view(np.uint64)
+        assert [[int(got[w]) >> b & 1 for b in range(64)] for w in range(0, 32, 31)] == want
+    for nodes in (1000, 300_000):
+        missed, apart = 0, []
+        for _ in range(300):
+            h = r.integers(0, 2**64, 220, np.uint64)
+            two = np.stack([simhash.wide_fingerprint(np.unique(x)) for x in (h[:200], h[20:])])  # 180 of 220: 0.82
+            keys = simhash.table_keys(two, *simhash.tables_for(nodes))
+            missed += not (keys[0] == keys[1]).any()
+            apart.append(int(np.bitwise_count((two[0] ^ two[1]).view(np.uint64)).sum()))
+        assert missed == 0 and max(apart) <= simhash.MOST and 270 < np.mean(apart) < 315
+
+
+def test_shuffle_files_go_with_their_steps(spark):
+    from rasterweave.llm.common import checkpointed, tidy
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum("shuffle_" in f.getName() for f in map(store.getAllFiles().apply, range(store.getAllFiles().size())))
+    with tidy(spark):
+        was = files()
+        df = checkpointed(spark.range(1000).repartition(7, "id").groupBy("id").count())
+        assert df.count() == 1000 and files() <= was
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
