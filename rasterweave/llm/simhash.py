@@ -15,7 +15,8 @@ near_copies() is for texts with a similarity of 0.8 or more in five-word shingle
 100 bits, whichever words differ, so three of 64 bits don't find them. There the same fingerprint has 2048 bits and the
 same multi-index has TABLES tables instead of two: each is over 24 or more of the bits, two texts meet if those are
 equal, and a pair at 0.8 is missed by all with a chance of 2e-5. Its nodes are the distinct shingle sets. Pairs that
-meet are verified by their complete distances, and linked if their shingle sets themselves are alike to 0.8 or more.
+meet are verified by their complete distances, which gives neighbourhoods; inside each, nodes are linked if their shingle
+sets themselves are alike to 0.8 or more.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 repeated rows (same id or same text) each get their row; a null id is ignored when the smallest id of a component is
@@ -52,10 +53,14 @@ SIMILARITY = (4, 5)
 MOST = 430
 #: Entries of the tables that are dealt out at once take about so many bytes a pass, if that is no more than PASSES.
 PASS_BYTES, PASSES, GROUP_ROWS = 200_000_000, 6, 2_000_000
+#: So many tables come first.
+FIRST = 24
+#: SQL for the differing bits of fingerprints sa and sb.
+APART = "aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
 MIX = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, WIDE_BITS // 64), np.uint64) | np.uint64(1)
 BUCKET = 4096
-#: Rows of a bucket that are compared in one task take at most about so many bytes.
-GROUP_BYTES = 32_000_000
+#: Rows that are compared in one task: at most about so many bytes, and so many rows, a side.
+GROUP_BYTES, SIDE = 32_000_000, 4096
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -214,78 +219,163 @@ def wide_rows(docs: DataFrame, text: str, size: int = WIDE_SHINGLE) -> DataFrame
 
 
 def met_in_tables(reps: DataFrame, tables: int, bits: int, first: int, last: int, parts: int) -> DataFrame:
-    """(key, fp, other, n): the buckets of n > 1 nodes in the tables from first to before last; one row of a bucket of two
-    nodes, and else a row a node, where other is null. key has the table's number in its low 12 bits.
+    """(key, fp, hub): what met in the tables from first to before last and has several roots (reps: fp, sig, root). One
+    node of each root of a bucket stands for it: a row each but for the least, the hub. key has the table's number in its
+    low 12 bits; it is null in buckets of two roots.
 
     Entries travel as packed arrays, a row a table and batch, and a group of them (a table, or a part of its keys) is
-    sorted at once."""
+    sorted at once. A root is sent for the linked nodes only, which come last."""
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if not len(batch):
                 continue
-            ids, keys = batch.column(0).to_numpy(), table_keys(_sigs(batch.column(1)), tables, bits, first, last)
+            ids, keys, roots = batch.column(0).to_numpy(), table_keys(_sigs(batch.column(1)), tables, bits, first, last), batch.column(2).to_numpy()
+            order = np.argsort(ids != roots, kind="stable")
+            ids, keys, roots = ids[order], keys[order], roots[order]
             rows = []
             for j, own in enumerate(np.ascontiguousarray(keys.T)):
                 for part in range(parts):
-                    here = slice(None) if parts == 1 else own % parts == part
-                    rows.append((first + j, part, own[here].tobytes(), ids[here].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["t", "part", "keys", "fps"])
+                    here = own % parts == part
+                    rows.append((first + j, part, own[here].tobytes(), ids[here].tobytes(), roots[here & (ids != roots)].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["t", "part", "keys", "fps", "roots"])
 
     def grouped(group: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32)
         fps = np.frombuffer(b"".join(group.column("fps").to_pylist()), np.int64)
+        roots = np.frombuffer(b"".join(f[: len(f) - len(r)] + r for f, r in zip(group.column("fps").to_pylist(), group.column("roots").to_pylist(), strict=True)), np.int64)
         order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+        order = order[np.lexsort((fps[order], roots[order], keys[order]))]
+        for least in (True, False):  # the least node of each root; then by node, so a bucket's least comes first
+            keys, fps, roots = keys[order], fps[order], roots[order]
+            order = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])][: len(keys)]) if least else np.lexsort((fps, keys))
         keys, fps = keys[order], fps[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
         sizes = np.diff(np.r_[starts, len(keys)])
-        twos, n = starts[sizes == 2], np.repeat(sizes, sizes)
-        more = np.flatnonzero(n > 2)
-        key = keys[np.r_[twos, more]].astype(np.int64) << 12 | group.column("t")[0].as_py()
-        fp = np.r_[np.minimum(fps[twos], fps[twos + 1]), fps[more]]
-        other = pa.concat_arrays([pa.array(np.maximum(fps[twos], fps[twos + 1])), pa.nulls(len(more), pa.int64())])
-        return pa.table([pa.array(key), pa.array(fp), other, pa.array(n[np.r_[twos, more]].astype(np.int64))], names=["key", "fp", "other", "n"])
+        hubs, n = np.repeat(fps[starts], sizes), np.repeat(sizes, sizes)
+        own = np.setdiff1d(np.arange(len(keys)), starts, assume_unique=True)
+        key = pa.array(keys[own].astype(np.int64) << 12 | group.column("t")[0].as_py(), mask=n[own] == 2)
+        return pa.table([key, pa.array(fps[own]), pa.array(hubs[own])], names=["key", "fp", "hub"])
 
-    entries = reps.select("fp", "sig").mapInArrow(packed, "t int, part int, keys binary, fps binary")
-    return checkpointed(entries.groupBy("t", "part").applyInArrow(grouped, "key long, fp long, other long, n long"))
+    entries = reps.select("fp", "sig", "root").mapInArrow(packed, "t int, part int, keys binary, fps binary, roots binary")
+    return checkpointed(entries.groupBy("t", "part").applyInArrow(grouped, "key long, fp long, hub long"))
 
 
-def wide_buckets(reps: DataFrame, tables: int, bits: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a, b): the pairs that have a bucket for themselves. (key, fp, n): the buckets in which n > 2 rows of reps (fp, sig)
-    meet. And (fp, share): how many rows a row meets there. The text that copies were made of shares most."""
-    step = tables if 12 * n * tables <= PASS_BYTES else -(-tables // PASSES)
+def met(reps: DataFrame, tables: int, bits: int, first: int, last: int, n: int) -> DataFrame:
+    """met_in_tables() of n nodes, in passes."""
+    step = last - first if 12 * n * (last - first) <= PASS_BYTES else -(-tables // PASSES)
     parts = -(-n // GROUP_ROWS) or 1
-    both = reduce(DataFrame.union, [met_in_tables(reps, tables, bits, k, min(k + step, tables), parts) for k in range(0, tables, step)])
-    met = both.where("other is null").select("key", "fp", "n")
-    return both.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")), met, checkpointed(met.groupBy("fp").agg(F.sum("n").alias("share")))
-
-
-def hub_pairs(own: DataFrame, roots: bool = False) -> DataFrame:
-    """(a, b): each row of a bucket of own (key, fp, share) with the row there that shares most; with roots (column
-    root), with the one that shares most among those outside the first hub's component."""
-    hub = F.min(F.struct((-F.col("share")).alias("s"), "fp"))["fp"].alias("hub")
-    hubs = own.groupBy("key").agg(hub)
-    if roots:
-        first = own.join(hubs, "key").where("fp = hub").select("key", F.col("root").alias("r"))
-        own = own.join(first, "key")
-        hubs = own.where("root <> r").groupBy("key").agg(hub)
-    pairs = own.select("key", "fp").join(hubs, "key").where("fp <> hub")
-    return pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
-
-
-def mixed(met: DataFrame, share: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, fp, share, root): the rows of buckets of several roots."""
-    label = share.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "share", F.coalesce("root", "fp").alias("root"))
-    own = met.select("key", "fp").join(label, "fp")
-    several = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    return checkpointed(own.join(several, "key"))
+    return reduce(DataFrame.union, [met_in_tables(reps, tables, bits, k, min(k + step, last), parts) for k in range(first, last, step)])
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) whose fingerprints differ in MOST bits at most."""
     own = pairs.distinct().join(reps.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
     own = own.join(reps.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
-    return own.where(f"aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {MOST}").select("a", "b")
+    return own.where(f"{APART} <= {MOST}").select("a", "b")
+
+
+def heads(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """(root, head, size) of the components: the node of most links, which is near its middle."""
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return roots.join(ends, "node").groupBy("root").agg(F.max(F.struct("links", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("size"))
+
+
+def reaching(asked: DataFrame, roots: DataFrame, near: DataFrame, reps: DataFrame) -> DataFrame:
+    """(root, size, reach, sig) of the asked roots (root): the head's fingerprint, and the most bits to a node of its component."""
+    sig = lambda node, name: reps.select(F.col("fp").alias(node), F.col("sig").alias(name))
+    head = heads(roots, near)
+    reach = roots.join(head, "root").join(sig("head", "sa"), "head").join(sig("node", "sb"), "node").groupBy("root").agg(F.max(F.expr(APART)).alias("reach"))
+    known = asked.join(head.join(reach, "root"), "root", "left")
+    known = known.select("root", F.coalesce("head", "root").alias("head"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("reach", F.lit(0)).alias("reach"))
+    return checkpointed(known.join(sig("head", "sig"), "head").drop("head"))
+
+
+def within(sigs: np.ndarray, one: np.ndarray, most: np.ndarray | int = MOST) -> np.ndarray:
+    """Which of the fingerprints differ from one in `most` bits at most."""
+    return np.flatnonzero(np.bitwise_count(sigs ^ one).sum(1, dtype=np.int64) <= most)
+
+
+def suspects(rows: DataFrame, roots: DataFrame, near: DataFrame, reps: DataFrame) -> DataFrame:
+    """(r, sr, o, so): pairs of different roots, and their sizes, that met in rows of met() and may have a link. By the
+    triangle inequality none has one whose heads differ in more bits than MOST and both reaches."""
+    of = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    own = rows.distinct().join(of("fp", "rf"), "fp", "left").join(of("hub", "rh"), "hub", "left")
+    own = checkpointed(own.select("key", F.coalesce("rf", "fp").alias("rf"), F.coalesce("rh", "hub").alias("rh")))
+    pairs = own.where("rf <> rh").select(F.least("rf", "rh").alias("r"), F.greatest("rf", "rh").alias("o")).distinct()
+    more = own.where("key is not null").select("key", F.col("rf").alias("fp")).union(own.where("key is not null").select("key", "rh")).distinct()
+    more = more.join(more.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key"), "key")
+    known = reaching(pairs.select(F.col("r").alias("root")).union(pairs.select("o")).union(more.select("fp")).distinct(), roots, near, reps)
+    side = lambda r, a: known.select(F.col("root").alias(r), F.col("size").alias(f"s{r}"), F.col("reach").alias(f"reach_{r}"), F.col("sig").alias(a))
+    two = pairs.join(side("o", "sb"), "o").join(side("r", "sa"), "r").where(f"{APART} <= {MOST} + reach_r + reach_o").select("r", "sr", "o", "so")
+    more = dealt(more, known.select(F.col("root").alias("fp"), F.lit(800).alias("weight"))).join(known.withColumnRenamed("root", "fp"), "fp")
+    groups = more.groupBy("key", "s0", "s1").agg(F.collect_list(F.struct("fp", "size", "reach", "sig", "side")).alias("rows"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for s0, s1, one in zip(*batch.columns, strict=True):
+                ids, size, reach, sigs, side = one.values.flatten()
+                ids, size, reach, sigs, side = ids.to_numpy(), size.to_numpy(), reach.to_numpy(), _sigs(sigs), side.to_numpy()
+                for i in range(len(ids) - 1):
+                    j = i + 1 + within(sigs[i + 1 :], sigs[i], MOST + reach[i] + reach[i + 1 :])
+                    j = j if s0.as_py() == s1.as_py() else j[side[j] != side[i]]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(np.full(len(j), size[i])), pa.array(ids[j]), pa.array(size[j])], names=["r", "sr", "o", "so"])
+
+    return two.union(groups.select("s0", "s1", "rows").mapInArrow(batches, "r long, sr long, o long, so long")).distinct()
+
+
+def links_between(pairs: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): links within MOST bits between the components of pairs of suspects(): each node of the lesser one with one
+    of the other, if there is one. Up to GROUP_BYTES a group holds all of both, beyond that parts of each."""
+    first = F.expr("sr > so or (sr = so and r < o)")
+    pairs = pairs.select(F.when(first, F.col("r")).otherwise(F.col("o")).alias("to"), F.when(first, F.col("o")).otherwise(F.col("r")).alias("root"))
+    nodes = lambda df: df.join(roots, "root", "left").select("to", F.coalesce("node", "root").alias("fp")).distinct()
+    both = nodes(pairs).withColumn("here", F.lit(False)).union(nodes(pairs.select("to", F.col("to").alias("root")).distinct()).withColumn("here", F.lit(True)))
+    both = checkpointed(both)
+    count = lambda here: F.ceil(F.sum(F.when(F.col("here") == here, 800).otherwise(0)) / GROUP_BYTES)
+    both = both.join(both.groupBy("to").agg(count(True).alias("k1"), count(False).alias("k0")), "to")
+    all_of = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    own = lambda k: F.array(F.pmod(F.xxhash64("fp"), k))
+    both = both.withColumn("p1", F.explode(F.when(F.col("here"), own("k1")).otherwise(all_of("k1")))).withColumn("p0", F.explode(F.when(F.col("here"), all_of("k0")).otherwise(own("k0"))))
+    groups = both.join(reps.select("fp", "sig"), "fp").groupBy("to", "p0", "p1").agg(F.collect_list(F.struct("fp", "here", "sig")).alias("rows"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for one in batch.column(0):
+                ids, here, sigs = one.values.flatten()
+                ids, here, sigs = ids.to_numpy(), here.to_numpy(zero_copy_only=False), _sigs(sigs)
+                theirs, there = ids[here], sigs[here]
+                found = [(a, theirs[at[0]]) for a, x in zip(ids[~here], sigs[~here], strict=True) if len(at := within(there, x))]
+                if found:
+                    at = np.array(found, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(at.min(1)), pa.array(at.max(1))], names=["a", "b"])
+
+    return groups.select("rows").mapInArrow(batches, "a long, b long").distinct()
+
+
+def neighbourhoods(reps: DataFrame, n: int) -> DataFrame:
+    """(node, root): the components of the links within MOST bits between the n nodes reps (fp, sig) that meet in a table;
+    nodes without one are left out.
+
+    A first few tables join most. In all others only buckets of several roots count, by a node each, which is compared
+    with the hub; what that leaves is told by suspects() and compared node by node. So rows go with the nodes, however
+    many of a group meet."""
+    tables, bits = tables_for(n)
+    star = lambda rows: rows.select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    rows = met(reps.select("fp", "sig", F.col("fp").alias("root")), tables, bits, 0, FIRST, n)
+    near = checkpointed(alike(star(rows), reps))
+    roots = checkpointed(components(near))
+    own = joined(reps.select("fp", "sig"), roots, [("fp", "node")]).select("fp", "sig", F.coalesce("root", "fp").alias("root"))
+    more = met(own, tables, bits, FIRST, tables, n)
+    near, rows = near.union(checkpointed(alike(star(more), reps))), rows.union(more)
+    roots = checkpointed(components(near))
+    left = checkpointed(suspects(rows, roots, near, reps))
+    if left.isEmpty():
+        return roots
+    return checkpointed(components(near.union(checkpointed(links_between(left, roots, reps)))))
 
 
 def sets_of(nodes: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
@@ -301,128 +391,69 @@ def sets_of(nodes: DataFrame, reps: DataFrame, texts: DataFrame, size: int = WID
     return checkpointed(own.mapInArrow(batches, "fp long, set array<long>").dropDuplicates(["fp"]))
 
 
-def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are alike to SIMILARITY."""
-    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    both = both.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
-    # shared / (x + y - shared) >= SIMILARITY, in whole numbers
-    up, down = SIMILARITY
-    return checkpointed(both.where(f"{up + down} * size(array_intersect(x, y)) >= {up} * (size(x) + size(y))").select("a", "b"))
-
-
-def spanning(rows: list[tuple[int, int, np.ndarray, np.ndarray]], table: int, tables: int, bits: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links of SIMILARITY that, with the roots, span all such links between rows (id, root, fingerprint, set) whose first
-    equal table is `table`; with `across` (a side of each row), between rows of different sides only."""
+def spanning(sigs: np.ndarray, sets: list[np.ndarray], across: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of SIMILARITY that span all such links of the rows (fingerprint, sorted set) within MOST bits; with `across` (a
+    side of each row), of those between different sides. The sets are read in whole numbers, without an estimate."""
     up, down = SIMILARITY
-    parent = {r: r for _, r, _, _ in rows}
-
-    def find(r: int) -> int:
-        while parent[r] != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
-    sigs = np.stack([x[2] for x in rows]).view(np.uint64)  # of signed values bitwise_count counts the absolute ones
-    keys = table_keys(sigs, tables, bits)
-    out = []
-    for i, (fp, root, _, own) in enumerate(rows[:-1]):
-        rest = i + 1 + np.nonzero(np.bitwise_count(sigs[i + 1 :] ^ sigs[i]).sum(1, dtype=np.int64) <= MOST)[0]
+    sizes, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if across is not None:
             rest = rest[across[rest] != across[i]]
-        first = (keys[rest] == keys[i]).argmax(1)
-        for j in rest[first == table].tolist():
-            if find(root) != find(rows[j][1]):
-                other = rows[j][3]
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                if (up + down) * shared >= up * (len(own) + len(other)):
-                    out.append((fp, rows[j][0]))
-                    parent[find(root)] = find(rows[j][1])
+        rest = rest[(up * sizes[rest] <= down * sizes[i]) & (up * sizes[i] <= down * sizes[rest])]
+        rest = rest[within(sigs[rest], sigs[i])]
+        for k in range(0, len(rest), 256):
+            some = rest[k : k + 256]
+            theirs = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], theirs), sizes[i] - 1)
+            shared = np.add.reduceat(sets[i][at] == theirs, np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
+            some = some[(up + down) * shared >= up * (sizes[i] + sizes[some])]
+            some = some[label[some] != label[i]]
+            some = some[np.unique(label[some], return_index=True)[1]]
+            out += [(i, int(j)) for j in some]
+            label[np.isin(label, label[some])] = label[i]
     return out
 
 
 def dealt(own: DataFrame, weights: DataFrame) -> DataFrame:
-    """own (key, fp, root) by groups (key, s0, s1), with the side of each row. A bucket is one group up to GROUP_BYTES of
-    the weights (fp, weight); beyond, its rows are dealt into sides and every two sides are a group."""
-    sizes = own.join(weights, "fp").groupBy("key").agg(F.ceil(F.sum("weight") / GROUP_BYTES).alias("k"))
-    own = own.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("fp"), "k"))
+    """own (key, fp) by groups (key, s0, s1), with the side of each row. The rows of a key are one group up to GROUP_BYTES of
+    the weights (fp, weight) and SIDE rows; beyond, they are dealt into sides and every two sides are a group."""
+    most = F.ceil(F.greatest(F.sum("weight") / GROUP_BYTES, F.count(F.lit(1)) / SIDE))
+    own = own.join(own.join(weights, "fp").groupBy("key").agg(most.alias("k")), "key").withColumn("side", F.pmod(F.xxhash64("fp"), "k"))
     own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    return own.select("key", F.least("side", "o").alias("s0"), F.greatest("side", "o").alias("s1"), "fp", "root", "side")
-
-
-def close(roots: np.ndarray, sigs: np.ndarray, table: int, tables: int, bits: int, across: np.ndarray | None = None) -> np.ndarray:
-    """Which rows have one of another root (and side) within MOST bits whose first equal table is `table`."""
-    keys, out = table_keys(sigs, tables, bits), np.zeros(len(roots), bool)
-    for i in range(len(roots) - 1):
-        rest = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
-        if across is not None:
-            rest = rest[across[rest] != across[i]]
-        rest = rest[np.bitwise_count(sigs[rest] ^ sigs[i]).sum(1, dtype=np.int64) <= MOST]
-        rest = rest[(keys[rest] == keys[i]).argmax(1) == table]
-        out[i] |= len(rest) > 0
-        out[rest] = True
-    return out
-
-
-def close_rows(own: DataFrame, reps: DataFrame, tables: int, bits: int) -> DataFrame:
-    """The rows (key, fp, root) of mixed() that have a row to compare with in their bucket; told by fingerprints alone."""
-    own = dealt(own.select("key", "fp", "root"), reps.select("fp", F.lit(4 * tables + 800).alias("weight"))).join(reps.select("fp", "sig"), "fp")
-    groups = own.groupBy("key", "s0", "s1").agg(F.collect_list(F.struct("fp", "root", "sig", "side")).alias("rows"))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for key, s0, s1, one in zip(*batch.columns, strict=True):
-                fp, root, sig, side = one.values.flatten()
-                got = close(root.to_numpy(), _sigs(sig), key.as_py() & 4095, tables, bits, None if s0.as_py() == s1.as_py() else side.to_numpy())
-                if got.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(got.sum(), key.as_py())), fp.filter(pa.array(got)), root.filter(pa.array(got))], names=["key", "fp", "root"])
-
-    return checkpointed(groups.select("key", "s0", "s1", "rows").mapInArrow(batches, "key long, fp long, root long").distinct())
+    return own.select("key", F.least("side", "o").alias("s0"), F.greatest("side", "o").alias("s1"), "fp", "side")
 
 
-def rest_links(own: DataFrame, reps: DataFrame, sets: DataFrame, tables: int, bits: int) -> DataFrame:
-    """(a, b): links that span what hubs have not joined, of buckets of mixed(); fewer than their rows. Only rows with
-    another within MOST bits bring their sets."""
-    own = close_rows(own, reps, tables, bits)
-    nodes = sets.join(own.select("fp").distinct(), "fp").join(reps.select("fp", "sig"), "fp").select("fp", "sig", "set")
-    own = dealt(own, sets.select("fp", (8 * F.size("set") + 4 * tables + 400).alias("weight"))).join(nodes, "fp")
-    groups = own.groupBy("key", "s0", "s1").agg(F.collect_list(F.struct("fp", "root", "sig", "set", "side")).alias("rows"))
+def exact(roots: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that span those of SIMILARITY between the nodes (node, root) of one root; fewer than the rows of its groups."""
+    own = dealt(roots.select(F.col("root").alias("key"), F.col("node").alias("fp")), sets.select("fp", (8 * F.size("set") + 800).alias("weight")))
+    own = own.join(sets.join(reps.select("fp", "sig"), "fp"), "fp")
+    groups = own.groupBy("key", "s0", "s1").agg(F.collect_list(F.struct("fp", "sig", "set", "side")).alias("rows"))
 
     def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for key, s0, s1, one in zip(*batch.columns, strict=True):
-                f = [one.values.field(k) for k in range(5)]
-                ids, root, side = (f[k].to_numpy(zero_copy_only=False) for k in (0, 1, 4))
-                rows = [(int(a), int(b), x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for a, b, x, y in zip(ids, root, f[2], f[3], strict=True)]
-                got = spanning(rows, key.as_py() & 4095, tables, bits, None if s0.as_py() == s1.as_py() else side) if len(rows) > 1 else []
+            for s0, s1, one in zip(*batch.columns, strict=True):
+                ids, sigs, own, side = one.values.flatten()
+                own = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in own]
+                got = spanning(_sigs(sigs), own, None if s0.as_py() == s1.as_py() else side.to_numpy())
                 if got:
-                    a = np.array(got, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.min(1)), pa.array(a.max(1))], names=["a", "b"])
+                    at = ids.to_numpy()[np.array(got)]
+                    yield pa.RecordBatch.from_arrays([pa.array(at.min(1)), pa.array(at.max(1))], names=["a", "b"])
 
-    return groups.select("key", "s0", "s1", "rows").mapInArrow(linked, "a long, b long").distinct()
+    return groups.select("s0", "s1", "rows").mapInArrow(linked, "a long, b long").distinct()
 
 
 def near_copies(rows: DataFrame, texts: DataFrame, size: int = WIDE_SHINGLE) -> tuple[DataFrame, DataFrame]:
     """As classes(), for rows of wide_rows of texts (__id, __h, __text): (fp, id, n), and (fp, component_id) of the linked ones.
 
-    The pairs with a bucket for themselves are compared. In the other buckets each node is first compared with the node
-    that shares most, then with that of those still apart; what is left apart in a bucket is compared there, and only links
-    that span its components leave. A link is one of exact shingle sets."""
+    Nodes that can be linked are of one neighbourhood. Inside each, all pairs within MOST bits are compared by their
+    exact shingle sets, and only links that span its components leave."""
     with tidy(rows.sparkSession):
         least = (F.min("__id").alias("id"), F.min(F.struct("__id", "__h")).alias("row"))
         reps = checkpointed(rows.groupBy("fp").agg(*least, F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
-        n = reps.count()
-        tables, bits = tables_for(n)
-        twos, met, share = wide_buckets(reps, tables, bits, n)
-        near = checkpointed(alike(twos.union(hub_pairs(met.join(share, "fp"))), reps))
-        nodes = near.select(F.col("a").alias("fp")).union(near.select("b")).union(share.select("fp"))
-        sets = sets_of(nodes, reps, texts, size)
-        found = exact(near, sets)
-        apart = mixed(met, share, components(found))
-        near = checkpointed(alike(hub_pairs(apart, True), reps))
-        found = found.union(exact(near, sets))
-        dropped(apart)
-        apart = mixed(met, share, components(found))
-        roots = components(found.union(checkpointed(rest_links(apart, reps, sets, tables, bits))))
+        near = neighbourhoods(reps, reps.count())
+        sets = sets_of(near.select(F.col("node").alias("fp")), reps, texts, size)
+        roots = components(checkpointed(exact(near, reps, sets)))
         dropped(sets)
         roots = checkpointed(roots.join(reps.select("fp", "id"), F.col("node") == F.col("fp")).select("fp", "id", "root"))
         least = roots.groupBy("root").agg(F.min("id").alias("component_id"))

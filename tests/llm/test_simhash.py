@@ -235,3 +235,18 @@ def test_shuffle_files_go_with_their_steps(spark):
             time.sleep(0.2)
         assert len(left) <= 1  # count()'s own
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_pairs_go_with_the_nodes_of_a_group(spark, monkeypatch):
+    """A large group of near copies that are hardly alike to each other: pairs go with the first tables, not with all."""
+    r, words, pairs, alike = random.Random(8), prose(77, 120).split(), [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda p, reps: (pairs.append(p.distinct().count()), alike(p, reps))[1])
+    texts = [words]
+    for i in range(600):
+        copy = list(words)
+        for at in r.sample(range(120), 2):
+            copy[at] = f"q{i}x{at}"
+        texts.append(copy)
+    got = simhash.deduplicated(spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA), size=simhash.WIDE_SHINGLE, wide=True)
+    assert [x.doc_id for x in got.collect()] == [0]
+    assert sum(pairs) <= 30 * len(texts), sum(pairs)
